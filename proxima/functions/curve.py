@@ -70,37 +70,52 @@ def transition_table() -> tuple[int, ...]:
     return tuple(v for row in rows for v in row)
 
 
-def _octant(x, y, z, level):
-    level = level if isinstance(level, Column) else F.lit(level)
+@lru_cache(maxsize=3)
+def stride_table(width: int) -> tuple[int, ...]:
+    """The transition table taken ``width`` levels at a time.
+
+    Indexed by state and by ``width`` bits of x, y and z side by side; holds
+    ``next_state << 3 * width | digits``.
+    """
+    single = transition_table()
+    side = range(1 << width)
+    out = []
+    for state in range(len(single) // 8):
+        for x, y, z in product(side, side, side):
+            at, digits = state, 0
+            for level in range(width - 1, -1, -1):
+                octant = (x >> level & 1) << 2 | (y >> level & 1) << 1 | (z >> level & 1)
+                entry = single[at * 8 + octant]
+                at, digits = entry >> 3, digits << 3 | entry & 7
+            out.append(at << 3 * width | digits)
+    return tuple(out)
 
-    def bit(c):
-        return F.call_function("shiftright", c.cast("int"), level).bitwiseAND(F.lit(1))
 
-    return (
-        F.shiftleft(bit(x), 2).bitwiseOR(F.shiftleft(bit(y), 1)).bitwiseOR(bit(z))
-    )
+def _lookup(width: int) -> Column:
+    # One string literal that the optimizer folds into an array literal.
+    return F.split(F.lit(" ".join(map(str, stride_table(width)))), " ").cast("array<int>")
 
 
 def peano_key(x: Column, y: Column, z: Column, bits: int = BITS) -> Column:
-    """Key of an integer cell; walks the bits from the top, one lookup each.
+    """Key of an integer cell, three levels of the curve per table lookup.
 
-    The running value packs key and state, so it fits up to 19 bits per axis.
+    A handful of nested lookups, all inside generated code.
     """
-    table = F.lit(list(transition_table()))
-
-    def walk(packed, level):
-        entry = F.get(
-            table,
-            F.shiftleft(packed.bitwiseAND(F.lit(31)).cast("int"), 3).bitwiseOR(
-                _octant(x, y, z, level)
-            ),
-        )
-        digit = entry.bitwiseAND(F.lit(7)).cast("long")
-        key = F.shiftleft(F.shiftright(packed, 5), 3).bitwiseOR(digit)
-        return F.shiftleft(key, 5).bitwiseOR(F.shiftright(entry, 3).cast("long"))
-
-    levels = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
-    return F.shiftright(F.aggregate(levels, F.lit(0).cast("long"), walk), 5)
+    entry, came, at = F.lit(0), 1, bits
+    key = F.lit(0).cast("long")
+    while at > 0:
+        width = at % 3 or 3
+        at -= width
+        mask = F.lit((1 << width) - 1)
+        index = F.shiftright(entry, 3 * came)
+        for c in (x, y, z):
+            index = F.shiftleft(index, width).bitwiseOR(
+                F.shiftright(c.cast("int"), at).bitwiseAND(mask)
+            )
+        entry, came = F.get(_lookup(width), index), width
+        digits = entry.bitwiseAND(F.lit((1 << 3 * width) - 1)).cast("long")
+        key = key.bitwiseOR(F.shiftleft(digits, 3 * at))
+    return key
 
 
 def curve_cell(p: Column, lo: Column, hi: Column, bits: int = BITS) -> Column:

@@ -19,40 +19,67 @@ def pair_r2(q, c, length):
     return total
 
 
-def within_reach(c, lo, hi, reach, length):
-    """Mask of candidates no farther than ``reach`` from the box (lo, hi)."""
-    gap2 = np.zeros(len(c))
-    for axis in range(3):
-        v = c[:, axis].astype(np.float64)
-        gap = np.maximum(lo[axis] - v, v - hi[axis])
+def within_reach(axes, lo, hi, reach, length):
+    """Mask of candidates no farther than ``reach`` from the box (lo, hi).
+
+    ``axes`` holds one contiguous float32 array per axis; ``reach`` must allow
+    for 32-bit rounding.
+    """
+    total = None
+    for v, a, b in zip(axes, lo, hi):
+        gap = np.abs(v - np.float32((a + b) / 2))
         if length > 0:
-            for s in (-length, length):
-                gap = np.minimum(gap, np.maximum(lo[axis] - v - s, v + s - hi[axis]))
-        gap2 += np.square(np.maximum(gap, 0.0))
-    return gap2 <= reach * reach
+            np.minimum(gap, np.abs(np.float32(length) - gap), out=gap)
+        gap -= np.float32((b - a) / 2)
+        np.maximum(gap, 0, out=gap)
+        gap *= gap
+        total = gap if total is None else np.add(total, gap, out=total)
+    return total <= np.float32(reach * reach)
 
 
 def padded(r2, scale):
     """A radius safely above sqrt(r2) in spite of 32-bit rounding."""
-    return np.sqrt(np.float64(r2)) * (1 + 1e-5) + 1e-6 * scale
+    return np.sqrt(np.float64(r2)) * (1 + 1e-5) + 2e-6 * scale
+
+
+def largest(*tables):
+    return max([float(np.abs(t).max()) for t in tables if len(t)], default=0.0)
 
 
 def chunks(q, c, bound2, length):
     """Neighbouring queries together with the candidates that can matter."""
-    scale = length if length > 0 else (np.abs(c).max(initial=0.0) if len(c) else 0.0)
+    scale = max(length, largest(q, c))
+    axes = [np.ascontiguousarray(c[:, i]) for i in range(3)]
     for start in range(0, len(q), CHUNK):
         part = slice(start, start + CHUNK)
         qs = q[part].astype(np.float64)
         worst = bound2[part].max()
         if np.isfinite(worst):
             keep = np.flatnonzero(
-                within_reach(c, qs.min(0), qs.max(0), padded(worst, scale), length)
+                within_reach(axes, qs.min(0), qs.max(0), padded(worst, scale), length)
             )
         else:
             keep = np.arange(len(c))
         yield part, keep
 
 
+def first_bounds(q, c, weight, n, length):
+    """A quick upper bound of the distance at rank n + 1.
+
+    Both sides are in curve order, so rows at about the same relative position
+    are near each other: a short run of candidates already gives a bound.
+    """
+    out = np.full(len(q), np.inf)
+    half = max(CHUNK, n + 1)
+    for start in range(0, len(q), CHUNK):
+        part = slice(start, start + CHUNK)
+        mid = (start + CHUNK // 2) * len(c) // max(len(q), 1)
+        run = slice(max(0, mid - half), mid + half)
+        got = ranked(q[part], c[run], weight[run], n, length)[:, 2]
+        out[part] = np.where(np.isnan(got), np.inf, got)
+    return out
+
+
 def ranked(q, c, weight, n, length, bound2=None):
     """Squared distances at weighted ranks 1, n and n + 1; NaN where missing.
 
@@ -141,7 +168,8 @@ def block_cutter(rows_per_block, n, length):
                 w = np.concatenate([w, state["earlier"][1]])
             bound = np.full(len(xyz), np.inf, dtype=np.float32)
             asks = nq > 0
-            far = ranked(xyz[asks], c, w, n, length)[:, 2]
+            q = xyz[asks]
+            far = ranked(q, c, w, n, length, first_bounds(q, c, w, n, length))[:, 2]
             bound[asks] = np.where(np.isnan(far), np.inf, far)
             if len(c):
                 state["earlier"] = (c[-rows_per_block:], w[-rows_per_block:])

@@ -150,8 +150,9 @@ def link_blocks(blocks, n, length, ghost_rows, max_radius=None):
     edge = meta.agg(
         *[F.min(c) for c in _cols("d")[:3]], *[F.max(c) for c in _cols("d")[3:]],
         F.max_by(F.struct(*_cols("d")), F.when(F.col("weight") > n, F.col("weight"))),
+        F.count("*"),
     ).first()
-    if edge[0] is None:
+    if edge[0] is None or edge[7] == 1:
         return None, None
     lo, hi = ([0.0] * 3, [per] * 3) if per else ([float(v) for v in edge[:3]], [float(v) for v in edge[3:6]])
     diag = sum((h - l) ** 2 for l, h in zip(lo, hi)) ** 0.5

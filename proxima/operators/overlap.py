@@ -38,10 +38,15 @@ def _cell(value: Column, origin: float, size: float, level: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(n - 1.0, raw.cast("double"))).cast("int")
 
 
-def _levels_in_use(df: DataFrame, cols, size: float) -> list[int]:
-    # At most MAX_LEVEL + 1 values.
-    rows = df.select(_level(cols, size).alias("lv")).distinct().collect()
-    return sorted(r["lv"] for r in rows)
+def _levels_in_use(left, left_box, right, right_box, size):
+    # At most MAX_LEVEL + 1 values a side.
+    rows = (
+        left.select(F.lit(0).alias("side"), _level(left_box, size).alias("lv"))
+        .union(right.select(F.lit(1), _level(right_box, size)))
+        .distinct()
+        .collect()
+    )
+    return [sorted(r["lv"] for r in rows if r["side"] == side) for side in (0, 1)]
 
 
 def _emit(df, cols, origin, size, other_levels, tag):
@@ -79,8 +84,7 @@ def overlap_join(
     size = max(max(h - l for l, h in zip(lo, hi)), 0.0)
     if not (size > 0 and math.isfinite(size)):
         size = 1.0
-    l_levels = _levels_in_use(left, left_box, size)
-    r_levels = _levels_in_use(right, right_box, size)
+    l_levels, r_levels = _levels_in_use(left, left_box, right, right_box, size)
     l_rows = _emit(left, left_box, lo, size, r_levels, "l")
     r_rows = _emit(right, right_box, lo, size, l_levels, "r")
     keys = ["_lv", "_cx", "_cy", "_cz"]
