@@ -117,18 +117,18 @@ def grown_boxes_touch(lo_a, hi_a, lo_b, hi_b, buffer_a, buffer_b, length=None) -
     lo_b, hi_b = grow(lo_b, hi_b, buffer_b)
     if not is_periodic(length):
         return boxes_touch(lo_a, hi_a, lo_b, hi_b)
+
+    def sides_touch(la, ha, lb, hb):
+        return F.exists(
+            periodic_pieces(la, ha, length),
+            lambda s: F.exists(
+                periodic_pieces(lb, hb, length),
+                lambda t: (s["lo"] <= t["hi"]) & (t["lo"] <= s["hi"]),
+            ),
+        )
+
     return reduce(
-        Column.__and__,
-        [
-            F.exists(
-                periodic_pieces(la, ha, length),
-                lambda s, lb=lb, hb=hb: F.exists(
-                    periodic_pieces(lb, hb, length),
-                    lambda t: (s["lo"] <= t["hi"]) & (t["lo"] <= s["hi"]),
-                ),
-            )
-            for la, ha, lb, hb in zip(lo_a, hi_a, lo_b, hi_b)
-        ],
+        Column.__and__, [sides_touch(*side) for side in zip(lo_a, hi_a, lo_b, hi_b)]
     )
 
 

@@ -166,7 +166,8 @@ def assign_boxes(halos: DataFrame, boxes: DataFrame, salts: int = 4) -> DataFram
     Entries outside every box search with a radius that doubles until a box is
     found within it, so each looks only as far as it has to.
     """
-    b = _prefixed(boxes, "b_", ["fnum", "box_id", *BOX_COLS])
+    # Read once per search round below.
+    b = stage_table(_prefixed(boxes, "b_", ["fnum", "box_id", *BOX_COLS]), "boxes")
     bc = [f"b_{c}" for c in BOX_COLS]
     spot = halos.select("halo_file_index", *XYZ)
     lo, hi = extent_of((b, bc), (spot, [*XYZ, *XYZ]))
@@ -185,7 +186,7 @@ def assign_boxes(halos: DataFrame, boxes: DataFrame, salts: int = 4) -> DataFram
     done = [stage_table(best(inside, -box_volume(b_lo, b_hi)).drop("_by"), "box-held")]
     rest = stage_table(spot.join(done[0], "halo_file_index", "left_anti"), "box-rest")
     diag = sum((h - l) ** 2 for l, h in zip(lo, hi)) ** 0.5 or 1.0
-    radius = diag / 256
+    radius = diag / 32
     while rest.limit(1).count():
         probe = rest.withColumns({
             **{f"_l{c}": F.col(c).cast("double") - radius for c in XYZ},
