@@ -99,18 +99,27 @@ def _positions(data, queries, n, with_ids) -> DataFrame:
     return d.unionByName(q)
 
 
-def build_blocks(positions, row_count, n, length, block_rows, max_radius=None) -> DataFrame:
+def _survey(tables):
+    """Total row count and common extent: one pass over the raw rows, no shuffle."""
+    total, lows, highs = 0, [], []
+    for df in tables:
+        row = df.agg(F.count("*"), *[F.min(c) for c in XYZ], *[F.max(c) for c in XYZ]).first()
+        total += row[0]
+        if row[0]:
+            lows.append(row[1:4])
+            highs.append(row[4:7])
+    lo = [float(min(v)) for v in zip(*lows)] or [0.0] * 3
+    hi = [float(max(v)) for v in zip(*highs)] or [0.0] * 3
+    return total, lo, hi
+
+
+def build_blocks(positions, survey, n, length, block_rows, max_radius=None) -> DataFrame:
     """Curve-ordered blocks of ``block_rows`` positions, written once."""
     spark = positions.sparkSession
+    row_count, lo, hi = survey
     length = float(length) if is_periodic(length) else -1.0
     if length > 0:
         lo, hi = [0.0] * 3, [length] * 3
-    else:
-        row = positions.agg(
-            *[F.min(c) for c in XYZ], *[F.max(c) for c in XYZ]
-        ).first()
-        vals = [float(v) if v is not None else 0.0 for v in row]
-        lo, hi = vals[:3], vals[3:]
     cells = [
         curve_cell(F.col(c), f32(a), f32(b), CURVE_BITS) for c, a, b in zip(XYZ, lo, hi)
     ]
@@ -351,9 +360,9 @@ def rank_distances(data, queries, n, length=None, max_radius=None,
 
 
 def _prepare(data, queries, n, length, ids, max_radius, block_rows, ghost_rows):
-    count = data.count() + (queries.count() if queries is not None else 0)
+    survey = _survey([data] if queries is None else [data, queries])
     blocks = build_blocks(
-        _positions(data, queries, n, ids), count, n, length, max(block_rows, 2), max_radius
+        _positions(data, queries, n, ids), survey, n, length, max(block_rows, 2), max_radius
     )
     return (blocks, *link_blocks(blocks, n, length, ghost_rows, max_radius))
 

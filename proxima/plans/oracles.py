@@ -1 +1,342 @@
-ORACLES = {}
+"""DuckDB statements that answer the named queries by other means.
+
+Distances come from joining everything with everything, boxes and pixels from
+the defining formulas, so each statement is independent of how the Spark query
+is planned. Queries whose check would need an iterative algorithm have none.
+"""
+
+from __future__ import annotations
+
+import math
+
+N, NDIV, BUFFER, ORDER = 8, 3, 0.05, 6
+PI = math.pi
+
+
+def f(x):
+    return f"CAST({x} AS FLOAT)"
+
+
+P = f"""SELECT label AS fnum, vec_id AS row_idx, {f('embedding[1]')} AS px,
+ {f('embedding[2]')} AS py, {f('embedding[3]')} AS pz FROM embeddings"""
+PP = f"""SELECT fnum, row_idx, {f(f"px + {f('0.5')}")} AS px, {f(f"py + {f('0.5')}")} AS py,
+ {f(f"pz + {f('0.5')}")} AS pz FROM ({P})"""
+EV = f"""SELECT CAST(ascii(event_type) AS INTEGER) AS fnum, event_id AS row_idx,
+ {f('user_id')} AS px, {f('value')} AS py, {f('hour(ts)')} AS pz FROM events"""
+LI = f"""SELECT l_linenumber AS fnum, l_orderkey AS row_idx, {f('l_quantity')} AS px,
+ {f('l_discount')} AS py, {f('l_tax')} AS pz FROM lineitem"""
+
+
+def H(first=1):
+    xyz = ", ".join(f"{f(f'embedding[{first + i}]')} AS p{a}" for i, a in enumerate("xyz"))
+    return f"SELECT vec_id AS halo_file_index, vec_id + 1000 AS id, {xyz} FROM embeddings"
+
+
+def r2(a="a", b="b", length=None):
+    def sep(x):
+        d = f"abs({a}.{x} - {b}.{x})"
+        if length is None:
+            return d
+        return f"(CASE WHEN {d} > {f(length / 2)} THEN {f(length)} - {d} ELSE {d} END)"
+
+    return " + ".join(f"{sep(x)} * {sep(x)}" for x in ("px", "py", "pz"))
+
+
+OTHER = "(a.fnum <> b.fnum OR a.row_idx <> b.row_idx)"
+
+
+def particles(points, n, length=None):
+    return f"""WITH p AS ({points})
+ SELECT a.fnum, a.row_idx, CAST(sqrt((min({r2(length=length)}, {n}))[{n}]) AS FLOAT) AS rnn,
+ TRUE AS certified FROM p a JOIN p b ON {OTHER} GROUP BY a.fnum, a.row_idx"""
+
+
+def halos(h, n):
+    near = f"min({r2()}, {n + 1})"
+    return f"""WITH p AS ({P}), h AS ({h})
+ SELECT halo_file_index, id, CAST(sqrt(CASE WHEN v[1] = 0 THEN v[{n + 1}] ELSE v[{n}] END) AS FLOAT) AS rnn,
+ TRUE AS certified
+ FROM (SELECT a.halo_file_index, a.id, {near} AS v FROM h a CROSS JOIN p b GROUP BY a.halo_file_index, a.id)"""
+
+
+def pairs(points, k, length=None):
+    return f"""WITH p AS ({points}), d AS (
+ SELECT a.fnum, a.row_idx, b.fnum AS nbr_fnum, b.row_idx AS nbr_row_idx, {r2(length=length)} AS r2
+ FROM p a JOIN p b ON {OTHER})
+ SELECT fnum, row_idx, row_number() OVER w AS rank, nbr_fnum, nbr_row_idx, r2 FROM d
+ WINDOW w AS (PARTITION BY fnum, row_idx ORDER BY r2, nbr_fnum, nbr_row_idx) QUALIFY rank <= {k}"""
+
+
+def within(points, radius, length=None):
+    return f"""WITH p AS ({points})
+ SELECT a.fnum, a.row_idx, b.fnum AS nbr_fnum, b.row_idx AS nbr_row_idx, {r2(length=length)} AS r2
+ FROM p a CROSS JOIN p b WHERE {r2(length=length)} <= {f(radius)} * {f(radius)}"""
+
+
+LOW, HIGH = ("xmin", "ymin", "zmin"), ("xmax", "ymax", "zmax")
+BOX = LOW + HIGH
+
+
+def cells(points):
+    at = []
+    for a in "xyz":
+        width = f"CAST(CAST(hi_{a} - lo_{a} AS DOUBLE) / {NDIV} AS FLOAT)"
+        q = f"CAST(CAST(p{a} - lo_{a} AS DOUBLE) / CAST({width} AS DOUBLE) AS FLOAT)"
+        at.append(f"CASE WHEN {width} > 0 THEN greatest(0, least({NDIV - 1}, CAST(trunc({q}) AS INTEGER))) ELSE 0 END")
+    key = f"(({at[0]}) * {NDIV} + ({at[1]})) * {NDIV} + ({at[2]})"
+    ext = ", ".join(f"min(p{a}) AS lo_{a}, max(p{a}) AS hi_{a}" for a in "xyz")
+    tight = ", ".join(
+        [f"min(p{a}) AS {n}" for a, n in zip("xyz", LOW)] + [f"max(p{a}) AS {n}" for a, n in zip("xyz", HIGH)]
+    )
+    return f"""SELECT fnum, CAST(row_number() OVER (PARTITION BY fnum ORDER BY cell) - 1 AS INTEGER) AS ind,
+ {', '.join(BOX)}, np FROM (SELECT fnum, cell, {tight}, count(*) AS np FROM (
+ SELECT p.*, {key} AS cell FROM ({points}) p JOIN (SELECT fnum, {ext} FROM ({points}) GROUP BY fnum) e USING (fnum))
+ GROUP BY fnum, cell)"""
+
+
+VOLUME = "(xmax - xmin) * (ymax - ymin) * (zmax - zmin)"
+
+
+def boxes(points):
+    whole = ", ".join([f"min({c}) AS w_{c}" for c in LOW] + [f"max({c}) AS w_{c}" for c in HIGH])
+    total = "(w_xmax - w_xmin) * (w_ymax - w_ymin) * (w_zmax - w_zmin)"
+    ratio = f"CAST(CAST({total} AS DOUBLE) / CAST(s AS DOUBLE) AS FLOAT)"
+    one = f"coalesce(s <> 0 AND abs({ratio} - 1.0) < 0.1, FALSE)"
+    pick = ", ".join(f"CASE WHEN one THEN w_{c} ELSE {c} END AS {c}" for c in BOX)
+    return f"""SELECT fnum, ind, {pick}, CAST(CASE WHEN one THEN wnp ELSE np END AS BIGINT) AS np,
+ row_number() OVER (ORDER BY fnum, ind) - 1 AS box_id FROM (
+ SELECT *, {one} AS one FROM ({cells(points)}) JOIN (
+ SELECT fnum, {whole}, sum(np) AS wnp, CAST(sum(CAST({VOLUME} AS DOUBLE)) AS FLOAT) AS s
+ FROM ({cells(points)}) GROUP BY fnum) USING (fnum)) WHERE NOT one OR ind = 0"""
+
+
+def grown(src, by):
+    return f"""SELECT * REPLACE ({', '.join([f'{c} - {f(by)} AS {c}' for c in LOW] + [f'{c} + {f(by)} AS {c}' for c in HIGH])}) FROM ({src})"""
+
+
+def parts(lo, hi):
+    """Pieces of [lo, hi] inside [0, 1], as a list of structs."""
+    turns = f"CAST(ceil(CAST({hi} AS DOUBLE)) - 1 AS FLOAT)"
+    top, bottom = f"({hi} - {turns})", f"({lo} - {turns})"
+    wraps = f"CAST(ceil(-CAST({bottom} AS DOUBLE)) AS INTEGER)"
+
+    def piece(a, b):
+        return f"{{'lo': {f(a)}, 'hi': {f(b)}}}"
+
+    return f"""CASE WHEN {bottom} >= 0 THEN [{piece(bottom, top)}]
+ WHEN {wraps} = 1 THEN [{piece(0, top)}, {piece(f'{bottom} + 1', 1)}]
+ ELSE list_concat([{piece(0, top)}], list_concat(list_transform(range({wraps} - 1), lambda i: {piece(0, 1)}),
+ [{piece(f'{bottom} + {wraps}', 1)}])) END"""
+
+
+def decomposed(src):
+    q = f"SELECT * FROM ({src})"
+    for a in "xyz":
+        keep = f"SELECT * REPLACE (s.lo AS {a}min, s.hi AS {a}max) EXCLUDE (s) FROM"
+        q = f"SELECT * EXCLUDE (s) REPLACE (s.lo AS {a}min, s.hi AS {a}max) FROM (SELECT *, unnest({parts(f'{a}min', f'{a}max')}) AS s FROM ({q}))"
+    return q
+
+
+def touch(a, b):
+    return " AND ".join(f"{a}.{x}min <= {b}.{x}max AND {b}.{x}min <= {a}.{x}max" for x in "xyz")
+
+
+def inside(p, b):
+    return " AND ".join(f"{b}.{x}min <= {p}.p{x} AND {p}.p{x} <= {b}.{x}max" for x in "xyz")
+
+
+def overlap(points, periodic):
+    src = grown(boxes(points), BUFFER)
+    src = decomposed(src) if periodic else src
+    return f"""WITH b AS ({boxes(points)}), g AS ({src})
+ SELECT DISTINCT g.fnum, b.fnum AS nbr_fnum FROM g CROSS JOIN b WHERE {touch('g', 'b')}
+ UNION SELECT fnum, fnum FROM b"""
+
+
+def face_distance(p, b):
+    def beside(x):
+        v, l, h = f"{p}.p{x}", f"{b}.{x}min", f"{b}.{x}max"
+        near = f"(CASE WHEN abs({l} - {v}) < abs({h} - {v}) THEN abs({l} - {v}) ELSE abs({h} - {v}) END)"
+        return f"(CASE WHEN {v} >= {l} AND {v} <= {h} THEN {f(0)} ELSE {near} * {near} END)"
+
+    faces = []
+    for j in "xyz":
+        for side in ("min", "max"):
+            gap = f"({b}.{j}{side} - {p}.p{j})"
+            faces.append(f"{gap} * {gap} + " + " + ".join(beside(i) for i in "xyz" if i != j))
+    return f"least({', '.join(faces)})"
+
+
+ASSIGN = f"""SELECT halo_file_index, fnum AS bbox_file_index, box_id AS bbox_index FROM (
+ SELECT h.halo_file_index, b.fnum, b.box_id, {inside('h', 'b')} AS held,
+ {face_distance('h', 'b')} AS d2, {VOLUME} AS vol FROM ({H(4)}) h CROSS JOIN ({boxes(P)}) b)
+ QUALIFY row_number() OVER (PARTITION BY halo_file_index ORDER BY held DESC,
+ CASE WHEN held THEN -vol ELSE d2 END, box_id) = 1"""
+
+# --- sky -----------------------------------------------------------------------------
+
+SKY = "SELECT row_idx AS id, CAST(px AS DOUBLE) AS x, CAST(py AS DOUBLE) AS y, CAST(pz AS DOUBLE) AS z FROM (" + P + ")"
+ANGLES = f"""SELECT id, acos(z / sqrt(x*x + y*y + z*z)) AS theta, z / sqrt(x*x + y*y + z*z) AS nz,
+ CASE WHEN x = 0 AND y = 0 THEN 0 WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END AS phi FROM ({SKY})"""
+
+
+def pixels(order=ORDER):
+    return f"SELECT o_orderkey AS id, o_orderkey % {12 << 2 * order} AS pix FROM orders"
+
+
+def nest_xyf(src, order, pix="pix"):
+    """Adds ix, iy, face of a nested pixel, bit by bit."""
+    bit = lambda s: " + ".join(f"((({pix} >> {2 * i + s}) & 1) << {i})" for i in range(order))
+    return f"SELECT *, {bit(0)} AS ix, {bit(1)} AS iy, {pix} >> {2 * order} AS face FROM ({src})"
+
+
+def spread(order):
+    bit = lambda v, s: " + ".join(f"((({v} >> {i}) & 1) << {2 * i + s})" for i in range(order))
+    return f"(face << {2 * order}) + {bit('ix', 0)} + {bit('iy', 1)}"
+
+
+def xyf_ring(src, order):
+    """Adds jr, nr, kshift, jp (place in the ring from 1), ring, z, theta, phi."""
+    n = 1 << order
+    jr = f"(CASE face // 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END) * {n} - ix - iy - 1"
+    jpll = "(2 * (face % 4) + CASE WHEN face // 4 = 1 THEN 0 ELSE 1 END)"
+    a = f"SELECT *, {jr} AS jr FROM ({src})"
+    b = f"""SELECT *, CASE WHEN jr < {n} THEN jr WHEN jr > {3 * n} THEN {4 * n} - jr ELSE {n} END AS nr,
+ CASE WHEN jr < {n} OR jr > {3 * n} THEN 0 ELSE (jr - {n}) & 1 END AS kshift FROM ({a})"""
+    c = f"SELECT *, ({jpll} * nr + ix - iy + 1 + kshift) // 2 AS jp0 FROM ({b})"
+    d = f"SELECT *, CASE WHEN jp0 > {4 * n} THEN jp0 - {4 * n} WHEN jp0 < 1 THEN jp0 + {4 * n} ELSE jp0 END AS jp FROM ({c})"
+    start = f"""CASE WHEN jr < {n} THEN 2 * jr * (jr - 1) WHEN jr > {3 * n} THEN {12 * n * n} - 2 * (nr + 1) * nr
+ ELSE {2 * n * (n - 1)} + (jr - {n}) * {4 * n} END"""
+    z = f"""CASE WHEN jr < {n} THEN 1 - nr * nr / {3.0 * n * n} WHEN jr > {3 * n} THEN nr * nr / {3.0 * n * n} - 1
+ ELSE ({2 * n} - jr) * 2.0 / {3.0 * n} END"""
+    return f"""SELECT *, acos(CAST(cz AS DOUBLE)) AS ctheta FROM (SELECT *, {start} AS startpix, CAST(({start}) + jp - 1 AS BIGINT) AS ring_pix,
+ CAST({z} AS DOUBLE) AS cz, (jp - (kshift + 1) * 0.5) * (pi() / 2 / nr) AS cphi FROM ({d}))"""
+
+
+def ang_xyf(src, order):
+    """Adds ix, iy, face of the pixel that holds (theta, phi)."""
+    n = 1 << order
+    q = f"SELECT *, cos(theta) AS cz, phi * 2 / pi() AS t FROM ({src})"
+    q = f"""SELECT *, abs(cz) <= 2.0/3.0 AS belt, CAST(floor(t) AS BIGINT) AS nt,
+ CAST(floor({n} * (0.5 + t) - {n} * cz * 0.75) AS BIGINT) AS ep, CAST(floor({n} * (0.5 + t) + {n} * cz * 0.75) AS BIGINT) AS em,
+ least({n - 1}, CAST(floor((t - floor(t)) * {n} * sqrt(greatest(0, 3 * (1 - abs(cz))))) AS BIGINT)) AS pp,
+ least({n - 1}, CAST(floor((1 - t + floor(t)) * {n} * sqrt(greatest(0, 3 * (1 - abs(cz))))) AS BIGINT)) AS pm FROM ({q})"""
+    fp, fm = f"(ep >> {order})", f"(em >> {order})"
+    face = f"""CASE WHEN belt THEN CASE WHEN {fp} = {fm} THEN CASE WHEN {fp} = 4 THEN 4 ELSE {fp} + 4 END
+ WHEN {fp} < {fm} THEN {fp} ELSE {fm} + 8 END WHEN cz >= 0 THEN nt ELSE nt + 8 END"""
+    ix = f"CASE WHEN belt THEN em & {n - 1} WHEN cz >= 0 THEN {n - 1} - pm ELSE pp END"
+    iy = f"CASE WHEN belt THEN {n - 1} - (ep & {n - 1}) WHEN cz >= 0 THEN {n - 1} - pp ELSE pm END"
+    return f"SELECT *, {face} AS face, {ix} AS ix, {iy} AS iy FROM ({q})"
+
+
+def all_pixels(order):
+    n = 12 << 2 * order
+    return xyf_ring(nest_xyf(f"SELECT unnest(range({n})) AS pix", order), order)
+
+
+def separation(a_t, a_p, b_t, b_p):
+    return f"""acos(greatest(-1.0, least(1.0, cos({a_t}) * cos({b_t}) + sin({a_t}) * sin({b_t}) * cos({a_p} - {b_p}))))"""
+
+
+CENTRES = xyf_ring(nest_xyf(pixels(), ORDER), ORDER)
+NSIDE = 1 << ORDER
+FUDGE = lambda order: 1.362 * PI / (4 * (1 << order))
+
+SKY_FILES = f"""SELECT DISTINCT CAST(rbin * 192 + hpix AS INTEGER) AS fnum, rbin, hpix FROM (
+ SELECT label AS rbin, CAST({spread(2)} AS BIGINT) AS hpix FROM ({ang_xyf(f"SELECT a.*, e.label FROM ({ANGLES}) a JOIN embeddings e ON e.vec_id = a.id", 2)}))"""
+
+ORACLES = {
+    "rnn_particles_open": particles(P, N),
+    "rnn_particles_periodic": particles(PP, N, 1.0),
+    "rnn_particles_buffer": f"""SELECT fnum, row_idx, CASE WHEN rnn <= {f(0.1)} THEN rnn END AS rnn,
+ rnn <= {f(0.1)} AS certified FROM ({particles(P, N)})""",
+    "rnn_ties_events": particles(EV, 5),
+    "rnn_crowded_lineitem": f"""WITH l AS ({LI}), u AS (SELECT px, py, pz, count(*) AS m FROM l GROUP BY ALL),
+ d AS (SELECT a.px, a.py, a.pz, {r2()} AS r2, CASE WHEN a.px = b.px AND a.py = b.py AND a.pz = b.pz THEN b.m - 1 ELSE b.m END AS m
+ FROM u a CROSS JOIN u b),
+ s AS (SELECT px, py, pz, r2, sum(m) OVER (PARTITION BY px, py, pz ORDER BY r2) AS seen FROM d),
+ v AS (SELECT px, py, pz, min(r2) AS r2 FROM s WHERE seen >= 120 GROUP BY px, py, pz)
+ SELECT l.fnum, l.row_idx, CAST(sqrt(v.r2) AS FLOAT) AS rnn, TRUE AS certified FROM l JOIN v USING (px, py, pz)""",
+    "rnn_halos_coincident": halos(H(1), N),
+    "rnn_halos_offset": halos(H(4), N),
+    "knn_pairs_open": pairs(P, 5),
+    "knn_pairs_periodic": pairs(PP, 5, 1.0),
+    "knn_join_halos": f"""WITH p AS ({P}), h AS ({H(4)}), d AS (
+ SELECT a.halo_file_index, a.id, b.fnum AS nbr_fnum, b.row_idx AS nbr_row_idx, {r2()} AS r2 FROM h a CROSS JOIN p b)
+ SELECT halo_file_index, id, row_number() OVER w AS rank, nbr_fnum, nbr_row_idx, r2 FROM d
+ WINDOW w AS (PARTITION BY halo_file_index ORDER BY r2, nbr_fnum, nbr_row_idx) QUALIFY rank <= 5""",
+    "radius_pairs_open": within(P, 0.1),
+    "radius_pairs_periodic": within(PP, 0.1, 1.0),
+    "radius_counts": f"SELECT fnum, row_idx, count(*) AS n_within FROM ({within(EV, 2.5)}) GROUP BY fnum, row_idx",
+    "wrap_positions": """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN p >= 0 AND p <= 10000 THEN p
+ ELSE CASE WHEN m = 0 AND p > 0 THEN 10000 ELSE m END END AS FLOAT) AS wrapped FROM (
+ SELECT *, CASE WHEN CAST(p AS DOUBLE) % 10000.0 < 0 THEN (CAST(p AS DOUBLE) % 10000.0 + 10000.0) % 10000.0
+ ELSE CAST(p AS DOUBLE) % 10000.0 END AS m FROM (
+ SELECT l_orderkey, l_linenumber, CAST(l_extendedprice - 50000.0 AS FLOAT) AS p FROM lineitem))""",
+    "pair_distance_periodic": f"""SELECT l_orderkey, l_linenumber, {r2(length=50.0)} AS r2_periodic, {r2()} AS r2_open FROM (
+ SELECT l_orderkey, l_linenumber,
+ {{'px': {f('l_quantity')}, 'py': {f('l_discount')}, 'pz': {f('l_tax')}}} AS a,
+ {{'px': {f('l_linenumber')}, 'py': {f('l_suppkey % 51')}, 'pz': {f('l_partkey % 51')}}} AS b FROM lineitem)""",
+    "bbox_grid": cells(EV),
+    "bbox_coalesced": f"SELECT *, {VOLUME} AS volume FROM ({boxes(P)})",
+    "bbox_index_text": f"""SELECT fnum, ind, printf('%d %d %e %e %e %e %e %e %d', fnum, ind, {', '.join(f'CAST({c} AS DOUBLE)' for c in BOX)}, np) AS line FROM ({boxes(P)})""",
+    "box_decompose_periodic": f"SELECT box_id, {', '.join(BOX)} FROM ({decomposed(grown(boxes(PP), 0.2))})",
+    "point_in_box_buffered": f"""WITH p AS ({PP}), b AS ({boxes(PP)}), o AS ({grown(boxes(PP), 0.1)}), g AS ({decomposed(grown(boxes(PP), 0.1))})
+ SELECT b.box_id, p.row_idx, EXISTS (SELECT 1 FROM g WHERE g.box_id = b.box_id AND {inside('p', 'g')}) AS inside_periodic,
+ EXISTS (SELECT 1 FROM o WHERE o.box_id = b.box_id AND {inside('p', 'o')}) AS inside_open
+ FROM p JOIN b ON p.fnum = b.fnum""",
+    "box_pairs_touch": f"""WITH b AS ({boxes(PP)}), g AS ({decomposed(grown(boxes(PP), 0.1))}), o AS ({decomposed(grown(boxes(PP), 0.05))})
+ SELECT a.box_id, c.box_id AS other_id, EXISTS (SELECT 1 FROM g JOIN o ON {touch('g', 'o')}
+ WHERE g.box_id = a.box_id AND o.box_id = c.box_id) AS touch_periodic, {touch('a', 'c')} AS touch_open
+ FROM b a JOIN b c ON a.ind = c.ind""",
+    "file_overlap": overlap(P, False),
+    "file_overlap_periodic": overlap(PP, True),
+    "buffered_read": f"""WITH p AS ({PP}), g AS ({decomposed(grown(boxes(PP), BUFFER))})
+ SELECT fnum AS for_fnum, TRUE AS own, fnum, row_idx FROM p UNION ALL
+ SELECT DISTINCT g.fnum, FALSE, p.fnum, p.row_idx FROM p JOIN g ON g.fnum <> p.fnum AND {inside('p', 'g')}""",
+    "halo_box_assign": ASSIGN,
+    "halo_box_growth": f"""WITH s AS (SELECT bbox_index AS box_id, {', '.join(f'min(p{a}) AS lo_{a}, max(p{a}) AS hi_{a}' for a in 'xyz')}
+ FROM ({ASSIGN}) JOIN ({H(4)}) USING (halo_file_index) GROUP BY ALL)
+ SELECT box_id, {', '.join([f'least({a}min, coalesce(lo_{a}, {a}min)) AS {a}min' for a in 'xyz'] + [f'greatest({a}max, coalesce(hi_{a}, {a}max)) AS {a}max' for a in 'xyz'])}
+ FROM ({boxes(P)}) LEFT JOIN s USING (box_id)""",
+    "halo_work_units": f"SELECT count(DISTINCT bbox_file_index) AS n_files FROM ({ASSIGN})",
+    "nearest_face": f"""SELECT b.box_id, p.row_idx, {face_distance('p', 'b')} AS d2
+ FROM ({P}) p JOIN ({boxes(P)}) b ON p.fnum = b.fnum""",
+    "halo_text_format": f"SELECT halo_file_index, printf('%d %f', id, CAST(px * px AS DOUBLE)) AS line FROM ({H(1)})",
+    "filename_tokens": """SELECT vec_id, vec_id AS hpix, label AS rbin, 'cone_' || label || '_' || vec_id AS base_name FROM embeddings""",
+    "file_union_distinct": f"SELECT fnum FROM ({P}) UNION SELECT fnum FROM ({EV})",
+    "hp_vec2ang": f"""SELECT id, round(theta, 9) AS theta, round(phi, 9) AS phi, round(sin(theta) * cos(phi), 9) AS ux,
+ round(sin(theta) * sin(phi), 9) AS uy, round(cos(theta), 9) AS uz FROM ({ANGLES})""",
+    "hp_radec": f"""SELECT id, round(degrees(phi), 8) AS ra, round(90 - degrees(theta), 8) AS dec,
+ round(theta, 8) AS theta, round(phi, 8) AS phi FROM ({ANGLES})""",
+    "hp_ang2ring": f"SELECT id, ring_pix AS pix FROM ({xyf_ring(ang_xyf(f'SELECT id, theta, phi FROM ({ANGLES})', ORDER), ORDER)})",
+    "hp_ang2nest": f"""SELECT id, CAST({spread(ORDER)} AS BIGINT) AS pix, ring_pix FROM (
+ {xyf_ring(ang_xyf(f'SELECT id, theta, phi FROM ({ANGLES})', ORDER), ORDER)})""",
+    "hp_pix2ang_nest": f"SELECT id, round(ctheta, 9) AS theta, round(cphi, 9) AS phi, round(cz, 9) AS z FROM ({CENTRES})",
+    "hp_pix2ang_ring": f"""SELECT p.id, round(a.ctheta, 9) AS theta, round(a.cphi, 9) AS phi, round(a.cz, 9) AS z
+ FROM ({pixels()}) p JOIN ({all_pixels(ORDER)}) a ON a.ring_pix = p.pix""",
+    "hp_nest_ring": f"""SELECT id, pix, ring_pix AS ring, pix AS back, ix, iy, face, pix AS nest_again, ring_pix AS ring_again FROM ({CENTRES})""",
+    "hp_parent_children": f"""SELECT id, pix // 16 AS parent, unnest(range(pix * 4, pix * 4 + 4)) AS child FROM ({pixels()})""",
+    "hp_grid_sizes": """SELECT o_orderkey AS id, CAST(1 AS BIGINT) << (o_orderkey % 30) AS nside,
+ CAST(12 AS BIGINT) << (2 * (o_orderkey % 30)) AS npix, CAST(1 AS BIGINT) << (o_orderkey % 30) AS nside_back,
+ o_orderkey % 30 AS order_back, CAST(floor(sqrt(o_orderkey + 0.5)) AS BIGINT) AS root,
+ CAST(CASE WHEN o_orderkey = 0 THEN 0 ELSE length(ltrim(bin(o_orderkey), '0')) - 1 END AS BIGINT) AS log2,
+ ((o_orderkey - 1000) % 7 + 7) % 7 AS mod7, CAST(floor((o_orderkey - 1000) / 16.0) AS BIGINT) AS floored FROM orders""",
+    "hp_ring_info": f"""WITH rings AS (SELECT jr, min(ring_pix) AS startpix, count(*) AS ringpix, any_value(cz) AS cz,
+ min(cphi) > 1e-9 AS off FROM ({all_pixels(ORDER)}) GROUP BY jr)
+ SELECT p.id, r.jr AS ring, r.startpix, r.ringpix, round(r.cz, 9) AS costheta, round(sqrt(1 - r.cz * r.cz), 9) AS sintheta,
+ CAST(CASE WHEN r.off THEN 1 ELSE 0 END AS BIGINT) AS shifted
+ FROM ({pixels()}) p JOIN rings r ON p.pix >= r.startpix AND p.pix < r.startpix + r.ringpix""",
+    "hp_ring_above": f"""WITH rings AS (SELECT DISTINCT jr, cz FROM ({all_pixels(ORDER)}))
+ SELECT s.id, CAST(count(r.jr) AS BIGINT) AS ring FROM ({SKY}) s LEFT JOIN rings r ON r.cz >= s.z GROUP BY s.id""",
+    "hp_peano_roundtrip": f"SELECT id, pix, pix AS back FROM ({pixels()})",
+    "hp_query_disc": f"""SELECT a.id, c.pix FROM ({ANGLES}) a JOIN ({all_pixels(3)}) c
+ ON {separation('a.theta', 'a.phi', 'c.ctheta', 'c.cphi')} <= 0.2 + {FUDGE(3)}""",
+    "sky_file_overlap": f"""WITH s AS ({SKY_FILES}), c AS ({all_pixels(2)}),
+ fl AS (SELECT s.fnum, s.rbin, s.hpix, c.ctheta, c.cphi FROM s JOIN c ON c.pix = s.hpix)
+ SELECT a.fnum, b.fnum AS nbr_fnum FROM fl a JOIN fl b ON abs(a.rbin - b.rbin) <= 1 AND (a.fnum = b.fnum OR
+ {separation('a.ctheta', 'a.cphi', 'b.ctheta', 'b.cphi')} <= {2 * FUDGE(2)} +
+ CASE WHEN greatest(a.rbin, b.rbin) * 25.0 > 10 THEN asin(10.0 / greatest(10.0, greatest(a.rbin, b.rbin) * 25.0)) ELSE pi() END)""",
+    "alm_index": """SELECT id, l, id - l * l - l AS m, id AS back, (l + 1) * (l + 1) AS n FROM (
+ SELECT o_orderkey AS id, CAST(floor(sqrt(o_orderkey + 0.5)) AS BIGINT) AS l FROM orders)""",
+}
