@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 64
+ROW_BITS = 16  # room for the row within its block in a unit number
+FAR = 16.0  # squared ratio to the block's median bound that sets a query apart
 
 
 def pair_r2(q, c, length):
@@ -149,14 +151,16 @@ def block_cutter(rows_per_block, n, length):
     """mapInArrow body: cut a sorted partition into blocks of equal length.
 
     Adds the block number and, for query rows, the squared distance within
-    which ``n + 1`` data points are already known to lie. Only the block being
+    which ``n + 1`` data points are already known to lie. A query whose bound
+    is far above its block's median becomes a unit of its own, so that one
+    outlier does not widen the search of the whole block. Only the block being
     filled and the data rows of the one before are held.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 32
+        base = TaskContext.get().partitionId() << 20
         state = {"serial": 0, "earlier": (np.zeros((0, 3), np.float32), np.zeros(0, np.int64))}
 
         def close(rows):
@@ -173,11 +177,15 @@ def block_cutter(rows_per_block, n, length):
             bound[asks] = np.where(np.isnan(far), np.inf, far)
             if len(c):
                 state["earlier"] = (c[-rows_per_block:], w[-rows_per_block:])
-            block = np.full(len(xyz), base + state["serial"], dtype=np.int64)
+            block = np.full(len(xyz), (base + state["serial"]) << ROW_BITS, dtype=np.int64)
             state["serial"] += 1
-            return rows.append_column("bound2", pa.array(bound)).append_column(
-                "block", pa.array(block)
-            )
+            solo = np.zeros(len(xyz), dtype=bool)
+            if asks.any():
+                solo[asks] = bound[asks] > FAR * np.median(bound[asks])
+            unit = np.where(solo, block + 1 + np.arange(len(xyz)), block)
+            for name, values in (("bound2", bound), ("block", block), ("unit", unit), ("solo", solo)):
+                rows = rows.append_column(name, pa.array(values))
+            return rows
 
         held = None
         for batch in batches:

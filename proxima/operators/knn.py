@@ -13,6 +13,7 @@ The plan, in Spark terms:
 3. One row per block (corners, counts, largest query bound) is joined with
    itself by ``overlap_join`` to find which blocks can matter to which. Bounds
    are tightened with what that join found.
+   A query that knows only a distant bound is linked on its own.
 4. Points near a block's queries are sent to it next to its own rows, and each
    block answers its queries. When the points sent to one block would exceed
    ``ghost_rows`` they are spread over several shares of it, each returns the
@@ -120,6 +121,9 @@ def build_blocks(positions, survey, n, length, block_rows, max_radius=None) -> D
     length = float(length) if is_periodic(length) else -1.0
     if length > 0:
         lo, hi = [0.0] * 3, [length] * 3
+    # One scale for all axes, so that blocks are compact in true distance.
+    side = max(b - a for a, b in zip(lo, hi))
+    hi = [a + side for a in lo]
     cells = [
         curve_cell(F.col(c), f32(a), f32(b), CURVE_BITS) for c, a, b in zip(XYZ, lo, hi)
     ]
@@ -132,7 +136,7 @@ def build_blocks(positions, survey, n, length, block_rows, max_radius=None) -> D
     ))
     order = ["_key", *XYZ, "ia", "ib"]
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_key")
-    schema = "px float, py float, pz float, nd bigint, nq bigint, ia bigint, ib bigint, bound2 float, block bigint"
+    schema = "px float, py float, pz float, nd bigint, nq bigint, ia bigint, ib bigint, bound2 float, block bigint, unit bigint, solo boolean"
     blocks = ordered.mapInArrow(kernels.block_cutter(block_rows, n, length), schema)
     if max_radius is not None:
         cap = (float(max_radius) * SLACK) ** 2
@@ -148,12 +152,13 @@ def link_blocks(blocks, n, length, ghost_rows, max_radius=None):
     blocks that need more than one share, or is None.
     """
     per = float(length) if is_periodic(length) else None
+    asks = (F.col("nq") > 0) & ~F.col("solo")
     meta = blocks.groupBy("block").agg(
         *_bounds("d", F.col("nd") > 0),
-        *_bounds("q", F.col("nq") > 0),
+        *_bounds("q", asks),
         F.coalesce(F.sum("nd"), F.lit(0)).alias("weight"),
         F.count(F.when(F.col("nd") > 0, 1)).alias("rows"),
-        F.max(F.when(F.col("nq") > 0, F.sqrt(F.col("bound2").cast("double")))).alias("reach"),
+        F.max(F.when(asks, F.sqrt(F.col("bound2").cast("double")))).alias("reach"),
     )
     meta = stage_table(meta, "block-extents")
     edge = meta.agg(
@@ -187,7 +192,13 @@ def link_blocks(blocks, n, length, ghost_rows, max_radius=None):
     if max_radius is not None:
         unbounded = F.least(unbounded, F.lit(float(max_radius) * SLACK))
     reach = F.when(F.col("reach") < F.lit(float("inf")), F.col("reach")).otherwise(unbounded)
-    ask = meta.filter(F.col("reach").isNotNull()).select(
+    outliers = blocks.filter("solo").select(
+        F.col("unit").alias("block"),
+        *[F.col(c).alias(n) for c, n in zip(XYZ * 2, _cols("q"))],
+        F.sqrt(F.col("bound2").cast("double")).alias("reach"),
+    )
+    asking = meta.select("block", *_cols("q"), "reach").unionByName(outliers)
+    ask = asking.filter(F.col("reach").isNotNull()).select(
         F.col("block").alias("a"),
         *_cols("q"),
         (reach * F.lit(SLACK) + F.lit(1e-6 * scale)).alias("reach"),
@@ -267,9 +278,7 @@ def _search(blocks, own, links, n, length, ids, lists) -> DataFrame:
     """Answer the queries of ``own``, shown the points that ``links`` names."""
     per = float(length) if is_periodic(length) else None
     payload = [*XYZ, "nd", "nq", "ia", "ib", "bound2"]
-    rows = own.select(
-        F.col("block").alias("a"), *payload, F.lit(False).alias("ghost"), "share"
-    )
+    rows = own.select("a", *payload, F.lit(False).alias("ghost"), "share")
     if links is not None:
         gap2 = square_sum(
             axis_gap(F.col(c), F.col(c), F.col(lo), F.col(hi), per)
@@ -299,14 +308,24 @@ def _search(blocks, own, links, n, length, ids, lists) -> DataFrame:
 def _answer(blocks, links, heavy, n, length, ids, lists) -> DataFrame:
     """All queries: most blocks in one piece, heavy ones share by share."""
     whole = F.lit(0).alias("share")
+    if links is None:
+        own = blocks.select("*", F.col("block").alias("a"), whole)
+        return _search(blocks, own, None, n, length, ids, lists)
+    # An outlier is a point of its block but asks as a unit of its own, to
+    # which its block is linked like any other.
+    none = F.lit(0).cast("bigint")
+    own = blocks.withColumns({
+        "a": F.col("block"), "nq": F.when(F.col("solo"), none).otherwise(F.col("nq"))
+    }).unionByName(
+        blocks.filter("solo").withColumns({"a": F.col("unit"), "nd": none})
+    )
     if heavy is None:
-        return _search(blocks, blocks.select("*", whole), links, n, length, ids, lists)
-    many = heavy.withColumnRenamed("a", "block")
+        return _search(blocks, own.select("*", whole), links, n, length, ids, lists)
     light = _search(
-        blocks, blocks.join(many, "block", "left_anti").select("*", whole),
+        blocks, own.join(heavy, "a", "left_anti").select("*", whole),
         links.filter(F.col("shares") == 1), n, length, ids, lists,
     )
-    split = blocks.join(many, "block").withColumn(
+    split = own.join(heavy, "a").withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     )
     merged = _merge_shares(
@@ -362,7 +381,7 @@ def rank_distances(data, queries, n, length=None, max_radius=None,
 def _prepare(data, queries, n, length, ids, max_radius, block_rows, ghost_rows):
     survey = _survey([data] if queries is None else [data, queries])
     blocks = build_blocks(
-        _positions(data, queries, n, ids), survey, n, length, max(block_rows, 2), max_radius
+        _positions(data, queries, n, ids), survey, n, length, min(max(block_rows, 2), 65000), max_radius
     )
     return (blocks, *link_blocks(blocks, n, length, ghost_rows, max_radius))
 
