@@ -123,6 +123,7 @@ def file_overlap(boxes: DataFrame, buffer: float, length=None) -> DataFrame:
 
     A file always lists itself.
     """
+    boxes = stage_table(boxes, "boxes")  # read several times below
     mine = _prefixed(buffered_pieces(boxes, buffer, length), "a_", ["fnum", *BOX_COLS])
     theirs = _prefixed(boxes, "b_", ["fnum", *BOX_COLS])
     a, b = [f"a_{c}" for c in BOX_COLS], [f"b_{c}" for c in BOX_COLS]
@@ -141,6 +142,7 @@ def buffered_read(points: DataFrame, boxes: DataFrame, buffer: float, length=Non
     Columns for_fnum, own, then the point. A point that lies in several grown
     boxes of a file is returned once.
     """
+    boxes = stage_table(boxes, "boxes")  # read several times below
     pieces = _prefixed(buffered_pieces(boxes, buffer, length), "a_", ["fnum", *BOX_COLS])
     a, p = [f"a_{c}" for c in BOX_COLS], [*XYZ, *XYZ]
     lo, hi = extent_of((boxes, BOX_COLS))
@@ -163,7 +165,7 @@ def assign_boxes(halos: DataFrame, boxes: DataFrame, salts: int = 4) -> DataFram
     does, the one with the nearest face. ``boxes`` needs box_id. Adds
     bbox_file_index and bbox_index to halo_file_index.
 
-    Entries outside every box search with a radius that doubles until a box is
+    Entries outside every box search with a growing radius until a box is
     found within it, so each looks only as far as it has to.
     """
     # Read once per search round below.
@@ -186,7 +188,7 @@ def assign_boxes(halos: DataFrame, boxes: DataFrame, salts: int = 4) -> DataFram
     done = [stage_table(best(inside, -box_volume(b_lo, b_hi)).drop("_by"), "box-held")]
     rest = stage_table(spot.join(done[0], "halo_file_index", "left_anti"), "box-rest")
     diag = sum((h - l) ** 2 for l, h in zip(lo, hi)) ** 0.5 or 1.0
-    radius = diag / 32
+    radius = diag / 32  # grows fourfold: few rounds, each with few boxes in reach
     while rest.limit(1).count():
         probe = rest.withColumns({
             **{f"_l{c}": F.col(c).cast("double") - radius for c in XYZ},
@@ -203,7 +205,7 @@ def assign_boxes(halos: DataFrame, boxes: DataFrame, salts: int = 4) -> DataFram
         if radius >= 2 * diag:
             break
         rest = stage_table(rest.join(near, "halo_file_index", "left_anti"), "box-rest")
-        radius *= 2
+        radius *= 4
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -14,6 +14,7 @@ de-duplicated.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,15 +39,20 @@ def _cell(value: Column, origin: float, size: float, level: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(n - 1.0, raw.cast("double"))).cast("int")
 
 
-def _levels_in_use(left, left_box, right, right_box, size):
-    # At most MAX_LEVEL + 1 values a side.
-    rows = (
-        left.select(F.lit(0).alias("side"), _level(left_box, size).alias("lv"))
-        .union(right.select(F.lit(1), _level(right_box, size)))
-        .distinct()
-        .collect()
-    )
-    return [sorted(r["lv"] for r in rows if r["side"] == side) for side in (0, 1)]
+def _levels_in_use(sides, size):
+    """Levels each side uses; points are all at the finest, without a look."""
+    found = [[MAX_LEVEL], [MAX_LEVEL]]
+    asked = [
+        df.select(F.lit(i).alias("side"), _level(cols, size).alias("lv"))
+        for i, (df, cols) in enumerate(sides)
+        if tuple(cols[:3]) != tuple(cols[3:])
+    ]
+    if asked:
+        # At most MAX_LEVEL + 1 values a side.
+        rows = reduce(DataFrame.union, asked).distinct().collect()
+        for i in {r["side"] for r in rows}:
+            found[i] = sorted(r["lv"] for r in rows if r["side"] == i)
+    return found
 
 
 def _emit(df, cols, origin, size, other_levels, tag):
@@ -76,7 +82,8 @@ def overlap_join(
     """Inner join of rows whose boxes overlap or touch.
 
     ``left_box`` / ``right_box`` name six columns (three lower, three upper
-    corners); column names of the two sides must differ. ``lo`` / ``hi`` is the
+    corners; points name their three columns twice); column names of the two
+    sides must differ. ``lo`` / ``hi`` is the
     extent both sides are indexed over; boxes outside are still matched, in the
     outermost cells. ``salts`` spreads the left rows of one cell over that many
     reducers and copies the right rows to each.
@@ -84,7 +91,7 @@ def overlap_join(
     size = max(max(h - l for l, h in zip(lo, hi)), 0.0)
     if not (size > 0 and math.isfinite(size)):
         size = 1.0
-    l_levels, r_levels = _levels_in_use(left, left_box, right, right_box, size)
+    l_levels, r_levels = _levels_in_use([(left, left_box), (right, right_box)], size)
     l_rows = _emit(left, left_box, lo, size, r_levels, "l")
     r_rows = _emit(right, right_box, lo, size, l_levels, "r")
     keys = ["_lv", "_cx", "_cy", "_cz"]
