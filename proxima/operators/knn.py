@@ -414,12 +414,16 @@ def rnn_particles(points: DataFrame, n: int, length=None, max_radius=None, stric
     found, blocks = rank_distances(points, None, n, length, max_radius, block_rows, ghost_rows)
     out = ["fnum", "row_idx", "rnn", "certified"]
     found = _finish(found, F.col("next_r2"), max_radius, strict)
+    named = [F.col("ia").cast("int").alias("fnum"), F.col("ib").alias("row_idx"), "rnn", "certified"]
     if not blocks.filter(F.col("nq") > 1).limit(1).count():
         # Every position is one point, named in the block table: no join back.
-        return found.select(
-            F.col("ia").cast("int").alias("fnum"), F.col("ib").alias("row_idx"), "rnn", "certified"
-        )
-    return points.join(found.select(*XYZ, "rnn", "certified"), list(XYZ)).select(*out)
+        return found.select(*named)
+    # Only shared positions go back to their points; usually they are few.
+    found = stage_table(found, "found")
+    shared = found.filter(F.col("nq") > 1).select(*XYZ, "rnn", "certified")
+    return found.filter(F.col("nq") == 1).select(*named).unionByName(
+        points.join(shared, list(XYZ)).select(*out)
+    )
 
 
 def rnn_halos(halos: DataFrame, points: DataFrame, n: int, length=None, max_radius=None,
