@@ -83,10 +83,10 @@ def overlap_join(
 
     ``left_box`` / ``right_box`` name six columns (three lower, three upper
     corners; points name their three columns twice); column names of the two
-    sides must differ. ``lo`` / ``hi`` is the
-    extent both sides are indexed over; boxes outside are still matched, in the
-    outermost cells. ``salts`` spreads the left rows of one cell over that many
-    reducers and copies the right rows to each.
+    sides must differ. ``lo`` / ``hi`` is the extent both sides are indexed
+    over; boxes outside are still matched, in the outermost cells. ``salts``
+    spreads the left rows of one cell over that many reducers and copies the
+    right rows to each.
     """
     size = max(max(h - l for l, h in zip(lo, hi)), 0.0)
     if not (size > 0 and math.isfinite(size)):

@@ -132,7 +132,6 @@ def parts(lo, hi):
 def decomposed(src):
     q = f"SELECT * FROM ({src})"
     for a in "xyz":
-        keep = f"SELECT * REPLACE (s.lo AS {a}min, s.hi AS {a}max) EXCLUDE (s) FROM"
         q = f"SELECT * EXCLUDE (s) REPLACE (s.lo AS {a}min, s.hi AS {a}max) FROM (SELECT *, unnest({parts(f'{a}min', f'{a}max')}) AS s FROM ({q}))"
     return q
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.geometry import is_periodic, wrap_position
 from ..model import XYZ
+from ..session import stage_table
 
 # Column of the id and of x, y, z in each catalogue layout.
 LAYOUTS = {
@@ -38,10 +39,6 @@ def read_catalogue(spark: SparkSession, path: str, layout: str, length=None) ->
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    from pyspark.sql import Window
-
-    from ..session import stage_table
-
     raw = stage_table(raw, "catalogue-lines")
     # Several ranges can share a task, so blocks are ordered by start, rows by id.
     sizes = raw.groupBy("_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
