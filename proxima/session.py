@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -12,19 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for tables that cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when nothing is set
-    (a local test session) a temporary folder is taken instead.
+    The session names it in ``spark.checkpoint.dir`` (or by
+    ``SparkContext.setCheckpointDir``); without one nothing can be staged.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="proxima-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """For sessions that name no shared folder: take one beside the warehouse's tables."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(f"{warehouse}/staging")
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the result.
 
