@@ -2,7 +2,7 @@
 
 Every stage works on all that the one before kept; rows it drops are gone and
 texts it changes stay changed. All but the last return the columns of the
-documents.
+documents, the last the encoded texts.
 """
 
 from __future__ import annotations
@@ -10,8 +10,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from proxima.llm.decontam import keep_clean
 from proxima.llm.langid import keep_identified
+from proxima.llm.lines import drop_boilerplate
+from proxima.llm.pieces import encode
 from proxima.llm.simhash import keep_one
 from proxima.session import shared_dir
 
@@ -21,17 +25,40 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_identified(docs)
 
 
+def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a large share of a source's documents hold are dropped; every document stays."""
+    clean = drop_boilerplate(docs, docs["source"], "text")
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by items of the benchmark."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's best segmentation, and how far the second best falls short."""
+    found = docs.select("doc_id", "source", "lang", encode(docs, F.col("text"), n=2).alias("best"))
+    first, second = (F.get("best", F.lit(k)) for k in (0, 1))
+    return found.select(
+        "doc_id", "source", "lang", F.size(first["ids"]).alias("n_pieces"), first["score"].alias("score"),
+        (first["score"] - second["score"]).alias("margin"), first["ids"].alias("piece_ids"))
+
+
 STAGES = [
     ("language ID", language),
+    ("line dedup", boilerplate),
     ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding", pieces),
 ]
 
-#: Hashed n-gram scores and bit-majority fingerprints are not SQL's to express.
+#: Hashed n-gram scores, bit-majority fingerprints and lattices are not SQL's to express.
 ORACLE_SQL = None
 
 

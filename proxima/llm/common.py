@@ -38,4 +38,17 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 
 def ship_module(name: str) -> None:
+    """Send this module and the caller's to the workers by value."""
+    ship(sys.modules[__name__])
     ship(sys.modules[name])
+
+
+#: A-Z become a-z; 0-9, a-z and all bytes of characters beyond ASCII stay; the rest separates.
+_PLAIN = bytes(
+    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
+)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words of letters, digits and anything beyond ASCII, as UTF-8."""
+    return text.encode("utf-8", "replace").translate(_PLAIN).split() if text else []

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from proxima.llm.ann import op4_nearest
+from proxima.llm.chat import op1_chat
+from proxima.llm.decontam import op10_decontamination
 from proxima.llm.langid import op8_language_id
+from proxima.llm.licences import op5_licences
+from proxima.llm.lines import op6_line_dedup
+from proxima.llm.oracles import ORACLES  # noqa: F401  (read by the entry)
+from proxima.llm.pieces import op7_sentencepiece
+from proxima.llm.pii import op2_pii
+from proxima.llm.quality import op9_quality
 from proxima.llm.simhash import op3_simhash
 
 QUERIES = {
+    "op1_chat": op1_chat,
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_nearest": op4_nearest,
+    "op5_licences": op5_licences,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
 }
-
-ORACLES: dict[str, str] = {}
