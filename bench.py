@@ -12,13 +12,15 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from proxima.plans.queries import QUERIES  # noqa: E402
+from proxima.session import ensure_shared_dir  # noqa: E402
 
 HEADLINE = (
     "rnn_particles_open", "rnn_particles_periodic", "rnn_ties_events", "rnn_crowded_lineitem",
     "rnn_halos_offset", "knn_pairs_open", "radius_pairs_open", "radius_counts",
     "wrap_positions", "pair_distance_periodic", "bbox_grid", "bbox_coalesced", "file_overlap",
     "buffered_read", "halo_box_assign", "ph_key_order", "hp_ang2nest", "hp_nest_ring",
-    "hp_query_disc", "hp_neighbors", "hp_interpol",
+    "hp_query_disc", "hp_neighbors", "hp_interpol", "hp_interp_tri", "sky_file_overlap",
+    "ph_key_by_file", "knn_join_halos",
 )
 
 
@@ -35,6 +37,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared_dir(spark)
     spark.range(1000).groupBy("id").count().write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:

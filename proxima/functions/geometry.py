@@ -133,27 +133,13 @@ def grown_boxes_touch(lo_a, hi_a, lo_b, hi_b, buffer_a, buffer_b, length=None) -
 
 
 def nearest_face_distance2(p, lo, hi) -> Column:
-    """Squared distance from a point to the nearest of a box's six faces.
+    """Squared distance from a point to the surface of a box. Not periodic.
 
-    Not periodic. For one face: the gap to its plane, plus, on each other axis
-    where the point lies beside the box, the gap to the nearer edge.
+    Outside, the gaps of the axes add up; inside, the least depth counts.
     """
-
-    def beside(i):
-        d_lo, d_hi = F.abs(lo[i] - p[i]), F.abs(hi[i] - p[i])
-        near = F.when(d_lo < d_hi, d_lo).otherwise(d_hi)
-        return F.when((p[i] >= lo[i]) & (p[i] <= hi[i]), f32(0.0)).otherwise(near * near)
-
-    faces = []
-    for j in range(3):
-        for plane in (lo[j], hi[j]):
-            gap = plane - p[j]
-            total = gap * gap
-            for i in range(3):
-                if i != j:
-                    total = total + beside(i)
-            faces.append(total)
-    return F.least(*faces)
+    gaps = [F.greatest(l - c, c - h, f32(0.0)) for c, l, h in zip(p, lo, hi)]
+    depth = F.least(*(F.least(c - l, h - c) for c, l, h in zip(p, lo, hi)))
+    return F.when(F.greatest(*gaps) > 0, square_sum(gaps)).otherwise(depth * depth)
 
 
 def axis_gap(lo_a, hi_a, lo_b, hi_b, length: float | None = None) -> Column:

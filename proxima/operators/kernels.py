@@ -5,6 +5,7 @@ import pyarrow as pa
 
 CHUNK = 64
 ROW_BITS = 16  # room for the row within its block in a unit number
+SERIAL_BITS = 24  # room for the block within its partition
 FAR = 16.0  # squared ratio to the block's median bound that sets a query apart
 
 
@@ -147,36 +148,71 @@ def positions(table):
     return np.column_stack([column(table, a).astype(np.float32) for a in ("px", "py", "pz")])
 
 
-def block_cutter(rows_per_block, n, length):
-    """mapInArrow body: cut a sorted partition into blocks of equal length.
+def run_length(keys, rows, bits, first, last, before):
+    """Rows of the largest aligned curve cell that starts a sorted run of keys.
+
+    An aligned range of curve keys is a box in space. The range may not reach
+    back to the key ``before``, nor below ``first`` or above ``last`` where the
+    partition ends there, because what lies beyond is not in the run; and it
+    holds at most ``rows`` rows. Only the rows of one finest cell are cut
+    without regard to it.
+    """
+    key = int(keys[0])
+    for shift in range(bits, 0, -1):
+        low = key >> shift << shift
+        high = low + (1 << shift)
+        if before is not None and low <= before or first is not None and low < first or last is not None and high - 1 > last:
+            continue
+        size = int(np.searchsorted(keys, high, "left"))
+        if size <= rows:
+            return size
+    return min(rows, int(np.searchsorted(keys, key, "right")))
+
+
+def block_cutter(rows_per_block, n, length, bits, alone):
+    """mapInArrow body: cut a sorted partition into blocks at aligned curve cells.
+
+    A block holds every row of its cell, so rows of other blocks come near it
+    only from outside the cell's box, however uneven the density. ``alone``
+    says that there is no other partition whose rows could share a cell.
 
     Adds the block number and, for query rows, the squared distance within
     which ``n + 1`` data points are already known to lie. A query whose bound
     is far above its block's median becomes a unit of its own, so that one
-    outlier does not widen the search of the whole block. Only the block being
-    filled and the data rows of the one before are held.
+    outlier does not widen the search of the whole block. Held are the rows not
+    yet cut, two blocks' worth and a batch at most, and as many data rows
+    before them.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 20
+        part = TaskContext.get().partitionId()
+        if part >> (63 - ROW_BITS - SERIAL_BITS):
+            raise ValueError(f"partition {part}: block numbers are full")
+        base = part << SERIAL_BITS
         state = {"serial": 0, "earlier": (np.zeros((0, 3), np.float32), np.zeros(0, np.int64))}
 
-        def close(rows):
+        def data_of(rows):
+            xyz, nd = positions(rows), column(rows, "nd")
+            return xyz[nd > 0], nd[nd > 0]
+
+        def close(rows, after):
+            if state["serial"] >> SERIAL_BITS:
+                raise ValueError(f"partition {part}: over {1 << SERIAL_BITS} blocks; use more partitions or larger blocks")
             xyz, nd, nq = positions(rows), column(rows, "nd"), column(rows, "nq")
             has = nd > 0
             c, w = xyz[has], nd[has]
             if w.sum() <= n:
-                c = np.concatenate([c, state["earlier"][0]])
-                w = np.concatenate([w, state["earlier"][1]])
+                near = [state["earlier"], (c, w), data_of(after)]
+                c, w = (np.concatenate(x) for x in zip(*near))
             bound = np.full(len(xyz), np.inf, dtype=np.float32)
             asks = nq > 0
             q = xyz[asks]
             far = ranked(q, c, w, n, length, first_bounds(q, c, w, n, length))[:, 2]
             bound[asks] = np.where(np.isnan(far), np.inf, far)
-            if len(c):
-                state["earlier"] = (c[-rows_per_block:], w[-rows_per_block:])
+            kept = [np.concatenate(x)[-rows_per_block:] for x in zip(state["earlier"], (xyz[has], nd[has]))]
+            state["earlier"] = tuple(kept)
             block = np.full(len(xyz), (base + state["serial"]) << ROW_BITS, dtype=np.int64)
             state["serial"] += 1
             solo = np.zeros(len(xyz), dtype=bool)
@@ -185,22 +221,42 @@ def block_cutter(rows_per_block, n, length):
             unit = np.where(solo, block + 1 + np.arange(len(xyz)), block)
             for name, values in (("bound2", bound), ("block", block), ("unit", unit), ("solo", solo)):
                 rows = rows.append_column(name, pa.array(values))
-            return rows
+            return rows.drop_columns(["_key"]).combine_chunks()
 
-        held = None
-        for batch in batches:
+        held, first, before = None, None, None
+        for batch, more in with_more(batches):
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            while held.num_rows >= rows_per_block:
-                yield from close(held.slice(0, rows_per_block)).combine_chunks().to_batches()
-                held = held.slice(rows_per_block)
-        if held is not None and held.num_rows:
-            yield from close(held).combine_chunks().to_batches()
+            keys = column(held, "_key")
+            if first is None and len(keys):
+                first = int(keys[0])
+            at = 0
+            # a cell is known to be whole when more rows than it may hold are seen
+            while len(keys) - at > (2 * rows_per_block if more else 0):
+                edges = (None if alone else first, None if alone or more else int(keys[-1]))
+                size = run_length(keys[at:], rows_per_block, bits, *edges, before)
+                end = at + size
+                yield from close(held.slice(at, size), held.slice(end, rows_per_block)).to_batches()
+                before, at = int(keys[end - 1]), end
+            held = held.slice(at)
 
     return run
 
 
-def group_search(n, length, ids, lists):
+def with_more(batches):
+    """Each batch, and whether another follows."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield held, True
+        held = batch
+    if held is not None:
+        yield held, False
+
+
+def group_search(n, length, ids, lists, shared=False):
     """applyInArrow body: answer the queries of one block share.
 
     ``ghost`` is false for the block's own rows, which are candidates only in
@@ -231,6 +287,8 @@ def group_search(n, length, ids, lists):
             cols["near"] = pa.ListArray.from_arrays(
                 pa.array(offs), pa.StructArray.from_arrays(list(fields.values()), list(fields))
             )
+            if shared:
+                cols["share"] = pa.array(np.full(len(q), share, np.int32))
         return pa.table(cols)
 
     return run

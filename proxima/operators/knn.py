@@ -6,8 +6,10 @@ The plan, in Spark terms:
    (partial aggregation before the shuffle), so a position shared by a third of
    all rows is one row from here on.
 2. Positions are range-partitioned and sorted along the Peano-Hilbert curve and
-   cut into blocks of equal row count. Blocks hold the same number of rows in a
-   void and in a cluster; no cell can be crowded. While a block is cut, each of
+   cut into blocks at aligned ranges of the curve, which are boxes in space: each
+   block is the largest such box with at most ``block_rows`` rows, and holds
+   all the rows of its box. Rows of a cluster never lie inside the box of a
+   sparse block next to it. While a block is cut, each of
    its queries learns a distance within which enough points are already known.
    The block table is written once to the shared folder.
 3. One row per block (corners, counts, largest query bound) is joined with
@@ -38,7 +40,10 @@ ship(kernels)
 
 CURVE_BITS = 18
 BLOCK_ROWS = 2048
+MOST_BLOCK_ROWS = 65000
 GHOST_ROWS = 65536
+PARTITION_ROWS = 1 << 20
+MERGED_SHARES = 8
 SLACK = 1 + 1e-5
 
 
@@ -127,17 +132,17 @@ def build_blocks(positions, survey, n, length, block_rows, max_radius=None) -> D
     cells = [
         curve_cell(F.col(c), f32(a), f32(b), CURVE_BITS) for c, a, b in zip(XYZ, lo, hi)
     ]
-    keyed = positions.withColumn("_key", peano_key(*cells, bits=CURVE_BITS))
-    # Several blocks per range partition, but never more partitions than asked.
-    parts = max(1, min(
-        max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-            spark.sparkContext.defaultParallelism),
-        row_count // (2 * block_rows),
-    ))
+    # Rows without a place come first.
+    key = F.coalesce(peano_key(*cells, bits=CURVE_BITS), F.lit(-1).cast("bigint"))
+    keyed = positions.withColumn("_key", key)
+    # As many partitions as the rows call for; small tables still use every core.
+    parts = max(1, -(-row_count // PARTITION_ROWS),
+                min(spark.sparkContext.defaultParallelism, row_count // (4 * block_rows)))
     order = ["_key", *XYZ, "ia", "ib"]
-    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_key")
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = "px float, py float, pz float, nd bigint, nq bigint, ia bigint, ib bigint, bound2 float, block bigint, unit bigint, solo boolean"
-    blocks = ordered.mapInArrow(kernels.block_cutter(block_rows, n, length), schema)
+    cutter = kernels.block_cutter(block_rows, n, length, 3 * CURVE_BITS, parts == 1)
+    blocks = ordered.mapInArrow(cutter, schema)
     if max_radius is not None:
         cap = (float(max_radius) * SLACK) ** 2
         blocks = blocks.withColumn("bound2", F.least(F.col("bound2"), F.lit(cap).cast("float")))
@@ -274,7 +279,7 @@ def link_blocks(blocks, n, length, ghost_rows, max_radius=None):
     return links, (heavy if heavy.limit(1).count() else None)
 
 
-def _search(blocks, own, links, n, length, ids, lists) -> DataFrame:
+def _search(blocks, own, links, n, length, ids, lists, shared=False) -> DataFrame:
     """Answer the queries of ``own``, shown the points that ``links`` names."""
     per = float(length) if is_periodic(length) else None
     payload = [*XYZ, "nd", "nq", "ia", "ib", "bound2"]
@@ -298,10 +303,12 @@ def _search(blocks, own, links, n, length, ids, lists) -> DataFrame:
         if ids:
             inner = "r2: float, ia: bigint, ib: bigint, w: bigint"
         schema += f"near array<struct<{inner}>>"
+        if shared:
+            schema += ", share int"
     else:
         schema += "first_r2 float, nth_r2 float, next_r2 float"
     return rows.groupBy("a", "share").applyInArrow(
-        kernels.group_search(n, per or -1.0, ids, lists), schema
+        kernels.group_search(n, per or -1.0, ids, lists, shared), schema
     )
 
 
@@ -328,13 +335,12 @@ def _answer(blocks, links, heavy, n, length, ids, lists) -> DataFrame:
     split = own.join(heavy, "a").withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     )
+    most = heavy.agg(F.max("shares")).first()[0]
     merged = _merge_shares(
-        _search(blocks, split, links.filter(F.col("shares") > 1), n, length, ids, True)
+        _search(blocks, split, links.filter(F.col("shares") > 1), n, length, ids, True, True), most, n
     )
     if lists:
-        return light.unionByName(
-            merged.withColumn("near", F.slice("near", 1, n + 1))
-        )
+        return light.unionByName(merged)
     return light.unionByName(merged.select(
         *XYZ, "nq", "ia", "ib",
         F.get("near", F.lit(0))["r2"].alias("first_r2"),
@@ -343,12 +349,19 @@ def _answer(blocks, links, heavy, n, length, ids, lists) -> DataFrame:
     ))
 
 
-def _merge_shares(found: DataFrame) -> DataFrame:
-    """Join the lists of a block's shares into one sorted list per position."""
-    return found.groupBy(*XYZ).agg(
-        F.first("nq").alias("nq"), F.first("ia").alias("ia"), F.first("ib").alias("ib"),
-        F.array_sort(F.flatten(F.collect_list("near"))).alias("near"),
-    )
+def _merge_shares(found: DataFrame, shares: int, n: int) -> DataFrame:
+    """Join the lists of a block's shares into the n + 1 nearest per position.
+
+    A few shares at a time, so that no row ever holds more than a few lists.
+    """
+    while True:
+        shares = -(-shares // MERGED_SHARES)
+        found = found.withColumn("share", F.floor(F.col("share") / MERGED_SHARES).cast("int")).groupBy(*XYZ, "share").agg(
+            F.first("nq").alias("nq"), F.first("ia").alias("ia"), F.first("ib").alias("ib"),
+            F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, n + 1).alias("near"),
+        )
+        if shares <= 1:
+            return found.drop("share")
 
 
 def _weighted_rank(near: Column, rank: int) -> Column:
@@ -379,10 +392,10 @@ def rank_distances(data, queries, n, length=None, max_radius=None,
 
 
 def _prepare(data, queries, n, length, ids, max_radius, block_rows, ghost_rows):
+    if not 2 <= block_rows <= MOST_BLOCK_ROWS:
+        raise ValueError(f"block_rows must be between 2 and {MOST_BLOCK_ROWS}, not {block_rows}")
     survey = _survey([data] if queries is None else [data, queries])
-    blocks = build_blocks(
-        _positions(data, queries, n, ids), survey, n, length, min(max(block_rows, 2), 65000), max_radius
-    )
+    blocks = build_blocks(_positions(data, queries, n, ids), survey, n, length, block_rows, max_radius)
     return (blocks, *link_blocks(blocks, n, length, ghost_rows, max_radius))
 
 
@@ -403,6 +416,15 @@ def _finish(df: DataFrame, r2: Column, max_radius, strict: bool) -> DataFrame:
     return df.withColumn("rnn", F.when(ok, rnn) if not strict else rnn).withColumn("certified", ok)
 
 
+def _at_positions(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with what was found for their position; places that hold a null are places too."""
+    found = found.withColumnsRenamed({c: f"_at_{c}" for c in XYZ})
+    same = F.lit(True)
+    for c in XYZ:
+        same &= F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    return rows.join(found, same).drop(*(f"_at_{c}" for c in XYZ))
+
+
 def rnn_particles(points: DataFrame, n: int, length=None, max_radius=None, strict=False,
                   block_rows=BLOCK_ROWS, ghost_rows=GHOST_ROWS) -> DataFrame:
     """Distance from every point to its ``n``-th nearest other point.
@@ -422,7 +444,7 @@ def rnn_particles(points: DataFrame, n: int, length=None, max_radius=None, stric
     found = stage_table(found, "found")
     shared = found.filter(F.col("nq") > 1).select(*XYZ, "rnn", "certified")
     return found.filter(F.col("nq") == 1).select(*named).unionByName(
-        points.join(shared, list(XYZ)).select(*out)
+        _at_positions(points, shared).select(*out)
     )
 
 
@@ -437,7 +459,7 @@ def rnn_halos(halos: DataFrame, points: DataFrame, n: int, length=None, max_radi
     found, blocks = rank_distances(points, halos, n, length, max_radius, block_rows, ghost_rows)
     r2 = F.when(F.col("first_r2") == f32(0.0), F.col("next_r2")).otherwise(F.col("nth_r2"))
     found = _finish(found, r2, max_radius, strict).select(*XYZ, "rnn", "certified")
-    return halos.join(found, list(XYZ)).select("halo_file_index", "id", "rnn", "certified")
+    return _at_positions(halos, found).select("halo_file_index", "id", "rnn", "certified")
 
 
 def _emit_lists(rows: DataFrame, found: DataFrame, keep: list[str], k: int, drop_self: bool):
@@ -449,7 +471,7 @@ def _emit_lists(rows: DataFrame, found: DataFrame, keep: list[str], k: int, drop
                 (e["ia"] == F.col("fnum").cast("bigint")) & (e["ib"] == F.col("row_idx"))
             ),
         )
-    joined = rows.join(found.select(*XYZ, "near"), list(XYZ))
+    joined = _at_positions(rows, found.select(*XYZ, "near"))
     return joined.select(*keep, F.posexplode(F.slice(near, 1, k)).alias("_p", "_e")).select(
         *keep,
         (F.col("_p") + 1).cast("bigint").alias("rank"),
@@ -461,7 +483,11 @@ def _emit_lists(rows: DataFrame, found: DataFrame, keep: list[str], k: int, drop
 
 def knn_pairs(points: DataFrame, k: int, length=None, block_rows=BLOCK_ROWS,
               ghost_rows=GHOST_ROWS) -> DataFrame:
-    """The ``k`` nearest other points of every point, ties by (fnum, row_idx)."""
+    """The ``k`` nearest other points of every point, ties by (fnum, row_idx).
+
+    Of the points at one position only the first k + 1 by (fnum, row_idx) are
+    searched: no list can show another, since they tie at every distance.
+    """
     points = wrap_points(points, length)
     blocks, links, heavy = _prepare(points, None, k, length, True, None, block_rows, ghost_rows)
     found = _answer(blocks, links, heavy, k, length, True, True)

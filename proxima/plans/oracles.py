@@ -153,17 +153,12 @@ def overlap(points, periodic):
 
 
 def face_distance(p, b):
-    def beside(x):
-        v, l, h = f"{p}.p{x}", f"{b}.{x}min", f"{b}.{x}max"
-        near = f"(CASE WHEN abs({l} - {v}) < abs({h} - {v}) THEN abs({l} - {v}) ELSE abs({h} - {v}) END)"
-        return f"(CASE WHEN {v} >= {l} AND {v} <= {h} THEN {f(0)} ELSE {near} * {near} END)"
-
-    faces = []
-    for j in "xyz":
-        for side in ("min", "max"):
-            gap = f"({b}.{j}{side} - {p}.p{j})"
-            faces.append(f"{gap} * {gap} + " + " + ".join(beside(i) for i in "xyz" if i != j))
-    return f"least({', '.join(faces)})"
+    """Squared distance to the closest point of the surface, found by clamping."""
+    inside_ = " AND ".join(f"{p}.p{x} BETWEEN {b}.{x}min AND {b}.{x}max" for x in "xyz")
+    close = [f"(greatest({b}.{x}min, least({b}.{x}max, {p}.p{x})) - {p}.p{x})" for x in "xyz"]
+    away = " + ".join(f"{c} * {c}" for c in close)
+    depth = "least(" + ", ".join(f"abs({p}.p{x} - {b}.{x}{e})" for x in "xyz" for e in ("min", "max")) + ")"
+    return f"(CASE WHEN {inside_} THEN {depth} * {depth} ELSE {away} END)"
 
 
 ASSIGN = f"""SELECT halo_file_index, fnum AS bbox_file_index, box_id AS bbox_index FROM (
@@ -189,60 +184,107 @@ def nest_xyf(src, order, pix="pix"):
     return f"SELECT *, {bit(0)} AS ix, {bit(1)} AS iy, {pix} >> {2 * order} AS face FROM ({src})"
 
 
-def spread(order):
-    bit = lambda v, s: " + ".join(f"((({v} >> {i}) & 1) << {2 * i + s})" for i in range(order))
-    return f"(face << {2 * order}) + {bit('ix', 0)} + {bit('iy', 1)}"
-
+def all_pixels(order):
+    """Every pixel from the geometry of the flat layout: pix (nested), jr, ring_pix, cz, cphi, ctheta, u, v.
 
-def xyf_ring(src, order):
-    """Adds jr, nr, kshift, jp (place in the ring from 1), ring, z, theta, phi."""
+    RING numbers are the rank of the centres from north to south, then eastwards.
+    """
     n = 1 << order
-    jr = f"(CASE face // 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END) * {n} - ix - iy - 1"
-    jpll = "(2 * (face % 4) + CASE WHEN face // 4 = 1 THEN 0 ELSE 1 END)"
-    a = f"SELECT *, {jr} AS jr FROM ({src})"
-    b = f"""SELECT *, CASE WHEN jr < {n} THEN jr WHEN jr > {3 * n} THEN {4 * n} - jr ELSE {n} END AS nr,
- CASE WHEN jr < {n} OR jr > {3 * n} THEN 0 ELSE (jr - {n}) & 1 END AS kshift FROM ({a})"""
-    c = f"SELECT *, ({jpll} * nr + ix - iy + 1 + kshift) // 2 AS jp0 FROM ({b})"
-    d = f"SELECT *, CASE WHEN jp0 > {4 * n} THEN jp0 - {4 * n} WHEN jp0 < 1 THEN jp0 + {4 * n} ELSE jp0 END AS jp FROM ({c})"
-    start = f"""CASE WHEN jr < {n} THEN 2 * jr * (jr - 1) WHEN jr > {3 * n} THEN {12 * n * n} - 2 * (nr + 1) * nr
- ELSE {2 * n * (n - 1)} + (jr - {n}) * {4 * n} END"""
-    z = f"""CASE WHEN jr < {n} THEN 1 - nr * nr / {3.0 * n * n} WHEN jr > {3 * n} THEN nr * nr / {3.0 * n * n} - 1
- ELSE ({2 * n} - jr) * 2.0 / {3.0 * n} END"""
-    return f"""SELECT *, acos(CAST(cz AS DOUBLE)) AS ctheta FROM (SELECT *, {start} AS startpix, CAST(({start}) + jp - 1 AS BIGINT) AS ring_pix,
- CAST({z} AS DOUBLE) AS cz, (jp - (kshift + 1) * 0.5) * (pi() / 2 / nr) AS cphi FROM ({d}))"""
-
-
-def ang_xyf(src, order):
-    """Adds ix, iy, face of the pixel that holds (theta, phi)."""
+    flat = f"""SELECT pix, face % 4 + (CASE WHEN face // 4 = 1 THEN 0 ELSE 0.5 END) + (ix - iy) / {2.0 * n} AS u,
+ (1 - face // 4) * 0.5 + (ix + iy + 1 - {n}) / {2.0 * n} AS v
+ FROM ({nest_xyf(f"SELECT unnest(range({12 * n * n})) AS pix", order)})"""
+    ball = f"""SELECT pix, u, v, {sphere_z('u', 'v')} AS cz, {sphere_phi('u', 'v')} AS cphi FROM ({flat})"""
+    return f"""SELECT *, acos(cz) AS ctheta, dense_rank() OVER (ORDER BY round(cz, 12) DESC) AS jr,
+ row_number() OVER (ORDER BY round(cz, 12) DESC, cphi) - 1 AS ring_pix FROM ({ball})"""
+
+
+def sphere_z(u, v):
+    """Height of a place in the flat layout."""
+    return f"(CASE WHEN abs({v}) <= 0.5 THEN {v} * 4 / 3.0 ELSE sign({v}) * (1 - 4 * (1 - abs({v})) * (1 - abs({v})) / 3.0) END)"
+
+
+def sphere_phi(u, v):
+    """Longitude of a place in the flat layout."""
+    gore = f"(floor({u}) + 0.5)"
+    turned = f"(CASE WHEN abs({v}) <= 0.5 THEN {u} ELSE {gore} + ({u} - {gore}) / (2 * (1 - abs({v}))) END)"
+    return f"((({turned}) - 4 * floor(({turned}) / 4)) * pi() / 2)"
+
+
+def centres(src, order):
+    return f"SELECT * FROM ({src}) JOIN ({all_pixels(order)}) USING (pix)"
+
+
+def holding(src, order):
+    """Rows (theta, phi, ...) with the pixel whose square in the flat layout holds the direction."""
+    cap = "abs(cos(theta)) > 2 / 3.0"
+    width = "sqrt(3 * (1 - abs(cos(theta))))"
+    t = "(phi * 2 / pi())"
+    u = f"CASE WHEN {cap} THEN floor({t}) + 0.5 + ({t} - floor({t}) - 0.5) * {width} ELSE {t} END"
+    v = f"CASE WHEN {cap} THEN sign(cos(theta)) * (1 - {width} / 2) ELSE 0.75 * cos(theta) END"
+    apart = "least(abs(s.su - a.u), 4 - abs(s.su - a.u)) + abs(s.sv - a.v)"
+    return f"""SELECT s.*, a.* FROM (SELECT *, {u} AS su, {v} AS sv FROM ({src})) s JOIN ({all_pixels(order)}) a
+ ON {apart} <= {1 / (2 << order)} + 1e-12 QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY {apart}) = 1"""
+
+
+def neighbours(order):
+    """(pix, nbr, direction): pixels that share corners, named by the corners they share."""
+    half = 1 / (2 << order)
+    corners = " UNION ALL ".join(
+        f"SELECT pix, '{name}' AS corner, u + {du} AS cu, v + {dv} AS cv, u FROM px"
+        for name, du, dv in (("N", 0.0, half), ("E", half, 0.0), ("S", 0.0, -half), ("W", -half, 0.0)))
+    # a gore's edges and its pole belong to the gore, whose middle is that of its pixels
+    gore = "(floor(u) + 0.5)"
+    lon = f"""(CASE WHEN abs(cv) >= 1 - 1e-12 THEN 0 WHEN abs(cv) <= 0.5 THEN cu ELSE {gore} + (cu - {gore}) / (2 * (1 - abs(cv))) END)"""
+    z = sphere_z("cu", "cv")
+    point = f"""SELECT pix, corner, round(sqrt(greatest(0, 1 - z * z)) * cos(lon * pi() / 2), 8) + 0.0 AS x,
+ round(sqrt(greatest(0, 1 - z * z)) * sin(lon * pi() / 2), 8) + 0.0 AS y, round(z, 8) + 0.0 AS z
+ FROM (SELECT pix, corner, {z} AS z, {lon} AS lon FROM c)"""
+    return f"""WITH px AS ({all_pixels(order)}), c AS ({corners}), k AS ({point}),
+ met AS (SELECT a.pix, b.pix AS nbr, string_agg(a.corner, '' ORDER BY a.corner) AS shared
+ FROM k a JOIN k b ON a.x = b.x AND a.y = b.y AND a.z = b.z AND a.pix <> b.pix GROUP BY ALL)
+ SELECT pix, nbr, CAST(list_position(['SW', 'W', 'NW', 'N', 'EN', 'E', 'ES', 'S'], shared) - 1 AS BIGINT) AS direction FROM met"""
+
+
+def bilinear(src, order):
+    """(id, pix, wgt): two pixels of the ring above and two of that below, the pole being the mean of its four."""
     n = 1 << order
-    q = f"SELECT *, cos(theta) AS cz, phi * 2 / pi() AS t FROM ({src})"
-    q = f"""SELECT *, abs(cz) <= 2.0/3.0 AS belt, CAST(floor(t) AS BIGINT) AS nt,
- CAST(floor({n} * (0.5 + t) - {n} * cz * 0.75) AS BIGINT) AS ep, CAST(floor({n} * (0.5 + t) + {n} * cz * 0.75) AS BIGINT) AS em,
- least({n - 1}, CAST(floor((t - floor(t)) * {n} * sqrt(greatest(0, 3 * (1 - abs(cz))))) AS BIGINT)) AS pp,
- least({n - 1}, CAST(floor((1 - t + floor(t)) * {n} * sqrt(greatest(0, 3 * (1 - abs(cz))))) AS BIGINT)) AS pm FROM ({q})"""
-    fp, fm = f"(ep >> {order})", f"(em >> {order})"
-    face = f"""CASE WHEN belt THEN CASE WHEN {fp} = {fm} THEN CASE WHEN {fp} = 4 THEN 4 ELSE {fp} + 4 END
- WHEN {fp} < {fm} THEN {fp} ELSE {fm} + 8 END WHEN cz >= 0 THEN nt ELSE nt + 8 END"""
-    ix = f"CASE WHEN belt THEN em & {n - 1} WHEN cz >= 0 THEN {n - 1} - pm ELSE pp END"
-    iy = f"CASE WHEN belt THEN {n - 1} - (ep & {n - 1}) WHEN cz >= 0 THEN {n - 1} - pp ELSE pm END"
-    return f"SELECT *, {face} AS face, {ix} AS ix, {iy} AS iy FROM ({q})"
-
-
-def all_pixels(order):
-    n = 12 << 2 * order
-    return xyf_ring(nest_xyf(f"SELECT unnest(range({n})) AS pix", order), order)
+    return f"""WITH d AS ({src}), rings AS (SELECT jr, min(ring_pix) AS start, count(*) AS size, any_value(ctheta) AS rt,
+ any_value(cz) AS rz, min(cphi) > 1e-9 AS shifted FROM ({all_pixels(order)}) GROUP BY jr),
+ above AS (SELECT d.id, any_value(d.theta) AS theta, any_value(d.phi) AS phi, count(r.jr) AS up
+ FROM d LEFT JOIN rings r ON r.rz >= cos(d.theta) GROUP BY d.id),
+ met AS (SELECT a.*, r.*, a.phi / (2 * pi()) * r.size - (CASE WHEN r.shifted THEN 0.5 ELSE 0 END) AS at, r.jr = a.up AS is_up,
+ CASE WHEN a.up = 0 THEN 0 ELSE u.rt END AS t0, CASE WHEN a.up = {4 * n - 1} THEN pi() ELSE w.rt END AS t1
+ FROM above a JOIN rings r ON r.jr IN (a.up, a.up + 1) LEFT JOIN rings u ON u.jr = a.up LEFT JOIN rings w ON w.jr = a.up + 1),
+ part AS (SELECT *, CASE WHEN is_up THEN (t1 - theta) / (t1 - t0) ELSE (theta - t0) / (t1 - t0) END AS share FROM met),
+ each AS (SELECT id, start + ((CAST(floor(at) AS BIGINT) % size) + size) % size AS pix, (1 - at + floor(at)) * share AS wgt FROM part
+ UNION ALL SELECT id, start + ((CAST(floor(at) AS BIGINT) + 1) % size + size) % size, (at - floor(at)) * share FROM part
+ UNION ALL SELECT id, start + i, (1 - share) / 4 FROM part, unnest(range(4)) AS q(i) WHERE up IN (0, {4 * n - 1}))
+ SELECT id, CAST(pix AS BIGINT) AS pix, round(sum(wgt), 9) AS wgt FROM each GROUP BY id, pix"""
+
+
+def moments(src, order):
+    """Inverse moment matrix of the neighbours' offsets on the tangent plane."""
+    vec = "[sin(ctheta) * cos(cphi), sin(ctheta) * sin(cphi), cos(ctheta)]"
+    south = "[cos(c.ctheta) * cos(c.cphi), cos(c.ctheta) * sin(c.cphi), -sin(c.ctheta)]"
+    east = "[-sin(c.cphi), cos(c.cphi), 0.0]"
+    return f"""WITH c AS (SELECT *, {vec} AS vec FROM ({all_pixels(order)})), nb AS ({neighbours(order)}),
+ off AS (SELECT nb.pix, list_dot_product({south}, o.vec) - list_dot_product({south}, c.vec) AS t,
+ list_dot_product({east}, o.vec) - list_dot_product({east}, c.vec) AS p FROM nb JOIN c USING (pix) JOIN c o ON o.pix = nb.nbr),
+ m AS (SELECT pix, sum(t * t) AS tt, sum(t * p) AS tp, sum(p * p) AS pp FROM off GROUP BY pix)
+ SELECT id, round(pp / (tt * pp - tp * tp), 7) AS m00, round(-tp / (tt * pp - tp * tp) + 0.0, 7) AS m01,
+ round(tt / (tt * pp - tp * tp), 7) AS m11 FROM ({src}) JOIN m USING (pix)"""
 
 
 def separation(a_t, a_p, b_t, b_p):
     return f"""acos(greatest(-1.0, least(1.0, cos({a_t}) * cos({b_t}) + sin({a_t}) * sin({b_t}) * cos({a_p} - {b_p}))))"""
 
 
-CENTRES = xyf_ring(nest_xyf(pixels(), ORDER), ORDER)
+CENTRES = centres(nest_xyf(pixels(), ORDER), ORDER)
 NSIDE = 1 << ORDER
 FUDGE = lambda order: 1.362 * PI / (4 * (1 << order))
 
 SKY_FILES = f"""SELECT DISTINCT CAST(rbin * 192 + hpix AS INTEGER) AS fnum, rbin, hpix FROM (
- SELECT label AS rbin, CAST({spread(2)} AS BIGINT) AS hpix FROM ({ang_xyf(f"SELECT a.*, e.label FROM ({ANGLES}) a JOIN embeddings e ON e.vec_id = a.id", 2)}))"""
+ SELECT label AS rbin, CAST(pix AS BIGINT) AS hpix FROM ({holding(f"SELECT a.*, e.label FROM ({ANGLES}) a JOIN embeddings e ON e.vec_id = a.id", 2)}))"""
 
 ORACLES = {
     "rnn_particles_open": particles(P, N),
@@ -308,9 +350,13 @@ ORACLES = {
  round(sin(theta) * sin(phi), 9) AS uy, round(cos(theta), 9) AS uz FROM ({ANGLES})""",
     "hp_radec": f"""SELECT id, round(degrees(phi), 8) AS ra, round(90 - degrees(theta), 8) AS dec,
  round(theta, 8) AS theta, round(phi, 8) AS phi FROM ({ANGLES})""",
-    "hp_ang2ring": f"SELECT id, ring_pix AS pix FROM ({xyf_ring(ang_xyf(f'SELECT id, theta, phi FROM ({ANGLES})', ORDER), ORDER)})",
-    "hp_ang2nest": f"""SELECT id, CAST({spread(ORDER)} AS BIGINT) AS pix, ring_pix FROM (
- {xyf_ring(ang_xyf(f'SELECT id, theta, phi FROM ({ANGLES})', ORDER), ORDER)})""",
+    "hp_ang2ring": f"SELECT id, CAST(ring_pix AS BIGINT) AS pix FROM ({holding(f'SELECT id, theta, phi FROM ({ANGLES})', ORDER)})",
+    "hp_ang2nest": f"""SELECT id, CAST(pix AS BIGINT) AS pix, CAST(ring_pix AS BIGINT) AS ring_pix FROM (
+ {holding(f'SELECT id, theta, phi FROM ({ANGLES})', ORDER)})""",
+    "hp_neighbors": f"SELECT id, direction, CAST(nbr AS BIGINT) AS nbr FROM ({pixels()}) JOIN ({neighbours(ORDER)}) USING (pix)",
+    "hp_neighbors_ring": f"SELECT id, direction, CAST(nbr AS BIGINT) AS nbr FROM ({pixels()}) JOIN ({neighbours(ORDER)}) USING (pix)",
+    "hp_interpol": bilinear(f"SELECT id, theta, phi FROM ({ANGLES})", ORDER),
+    "hp_finitediff": moments(pixels(3), 3),
     "hp_pix2ang_nest": f"SELECT id, round(ctheta, 9) AS theta, round(cphi, 9) AS phi, round(cz, 9) AS z FROM ({CENTRES})",
     "hp_pix2ang_ring": f"""SELECT p.id, round(a.ctheta, 9) AS theta, round(a.cphi, 9) AS phi, round(a.cz, 9) AS z
  FROM ({pixels()}) p JOIN ({all_pixels(ORDER)}) a ON a.ring_pix = p.pix""",

@@ -50,9 +50,10 @@ def write_rnn_files(rnn: DataFrame, files: DataFrame, n: int, out_dir: str) -> i
         for b in batches:
             for rows, out in zip(b.column("n_parts").to_pylist(), b.column("out").to_pylist()):
                 body = 4 * rows
-                # The record length is a 32-bit field; it wraps as unsigned.
-                mark = np.array([body & 0xFFFFFFFF], "<u4").tobytes()
-                head = np.array([8, rows & 0xFFFFFFFF, n, 8], "<u4").tobytes() + mark
+                if body >> 32:
+                    raise ValueError(f"{out}: {rows} rows do not fit the 32-bit record length")
+                mark = np.array([body], "<u4").tobytes()
+                head = np.array([8, rows, n, 8], "<u4").tobytes() + mark
                 _write_at(out, 0, head)
                 os.truncate(out, len(head) + body)
                 _write_at(out, len(head) + body, mark)
