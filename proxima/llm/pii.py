@@ -86,9 +86,11 @@ def _valid(kind: Column, hit: Column) -> Column:
 def _matches(text: Column, kind: int, pattern: str) -> Column:
     """Array of (kind, at, gap, hit, before, after), in order; gap: characters since the match before."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(hits, lambda hit, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("at"), F.length(F.get(gaps, i)).alias("gap"), hit.alias("hit"),
-        F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after")))
+    # zipped before the lambda, which would cut the text anew for every match
+    zipped = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("then"))
+    return F.transform(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("at"), F.length(x["gap"]).alias("gap"), x["hit"].alias("hit"),
+        F.right(x["gap"], F.lit(CONTEXT)).alias("before"), F.left(x["then"], F.lit(CONTEXT)).alias("after")))
 
 
 def raw_matches(docs: DataFrame) -> DataFrame:
