@@ -221,7 +221,7 @@ def holding(src, order):
     t = "(phi * 2 / pi())"
     u = f"CASE WHEN {cap} THEN floor({t}) + 0.5 + ({t} - floor({t}) - 0.5) * {width} ELSE {t} END"
     v = f"CASE WHEN {cap} THEN sign(cos(theta)) * (1 - {width} / 2) ELSE 0.75 * cos(theta) END"
-    apart = "least(abs(s.su - a.u), 4 - abs(s.su - a.u)) + abs(s.sv - a.v)"
+    apart = "least(abs(s.su - a.u), abs(4 - abs(s.su - a.u))) + abs(s.sv - a.v)"
     return f"""SELECT s.*, a.* FROM (SELECT *, {u} AS su, {v} AS sv FROM ({src})) s JOIN ({all_pixels(order)}) a
  ON {apart} <= {1 / (2 << order)} + 1e-12 QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY {apart}) = 1"""
 
@@ -252,12 +252,12 @@ def bilinear(src, order):
  any_value(cz) AS rz, min(cphi) > 1e-9 AS shifted FROM ({all_pixels(order)}) GROUP BY jr),
  above AS (SELECT d.id, any_value(d.theta) AS theta, any_value(d.phi) AS phi, count(r.jr) AS up
  FROM d LEFT JOIN rings r ON r.rz >= cos(d.theta) GROUP BY d.id),
- met AS (SELECT a.*, r.*, a.phi / (2 * pi()) * r.size - (CASE WHEN r.shifted THEN 0.5 ELSE 0 END) AS at, r.jr = a.up AS is_up,
+ met AS (SELECT a.*, r.*, a.phi / (2 * pi()) * r.size - (CASE WHEN r.shifted THEN 0.5 ELSE 0 END) AS pos, r.jr = a.up AS is_up,
  CASE WHEN a.up = 0 THEN 0 ELSE u.rt END AS t0, CASE WHEN a.up = {4 * n - 1} THEN pi() ELSE w.rt END AS t1
  FROM above a JOIN rings r ON r.jr IN (a.up, a.up + 1) LEFT JOIN rings u ON u.jr = a.up LEFT JOIN rings w ON w.jr = a.up + 1),
  part AS (SELECT *, CASE WHEN is_up THEN (t1 - theta) / (t1 - t0) ELSE (theta - t0) / (t1 - t0) END AS share FROM met),
- each AS (SELECT id, start + ((CAST(floor(at) AS BIGINT) % size) + size) % size AS pix, (1 - at + floor(at)) * share AS wgt FROM part
- UNION ALL SELECT id, start + ((CAST(floor(at) AS BIGINT) + 1) % size + size) % size, (at - floor(at)) * share FROM part
+ each AS (SELECT id, start + ((CAST(floor(pos) AS BIGINT) % size) + size) % size AS pix, (1 - pos + floor(pos)) * share AS wgt FROM part
+ UNION ALL SELECT id, start + ((CAST(floor(pos) AS BIGINT) + 1) % size + size) % size, (pos - floor(pos)) * share FROM part
  UNION ALL SELECT id, start + i, (1 - share) / 4 FROM part, unnest(range(4)) AS q(i) WHERE up IN (0, {4 * n - 1}))
  SELECT id, CAST(pix AS BIGINT) AS pix, round(sum(wgt), 9) AS wgt FROM each GROUP BY id, pix"""
 
