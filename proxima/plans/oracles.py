@@ -51,9 +51,9 @@ def particles(points, n, length=None):
  TRUE AS certified FROM p a JOIN p b ON {OTHER} GROUP BY a.fnum, a.row_idx"""
 
 
-def halos(h, n):
-    near = f"min({r2()}, {n + 1})"
-    return f"""WITH p AS ({P}), h AS ({h})
+def halos(h, n, points=P, length=None):
+    near = f"min({r2(length=length)}, {n + 1})"
+    return f"""WITH p AS ({points}), h AS ({h})
  SELECT halo_file_index, id, CAST(sqrt(CASE WHEN v[1] = 0 THEN v[{n + 1}] ELSE v[{n}] END) AS FLOAT) AS rnn,
  TRUE AS certified
  FROM (SELECT a.halo_file_index, a.id, {near} AS v FROM h a CROSS JOIN p b GROUP BY a.halo_file_index, a.id)"""
@@ -306,6 +306,12 @@ ORACLES = {
  SELECT a.halo_file_index, a.id, b.fnum AS nbr_fnum, b.row_idx AS nbr_row_idx, {r2()} AS r2 FROM h a CROSS JOIN p b)
  SELECT halo_file_index, id, row_number() OVER w AS rank, nbr_fnum, nbr_row_idx, r2 FROM d
  WINDOW w AS (PARTITION BY halo_file_index ORDER BY r2, nbr_fnum, nbr_row_idx) QUALIFY rank <= 5""",
+    "rnn_blocks_open": particles(P, N),
+    "rnn_blocks_periodic": particles(PP, N, 1.0),
+    "rnn_halos_blocks_open": halos(H(4), N),
+    "rnn_halos_blocks_periodic": halos(f"SELECT row_idx AS halo_file_index, row_idx + 1000 AS id, px, py, pz FROM ({PP})", N, PP, 1.0),
+    "knn_pairs_blocks_open": pairs(P, 5),
+    "knn_pairs_blocks_periodic": pairs(PP, 5, 1.0),
     "radius_pairs_open": within(P, 0.1),
     "radius_pairs_periodic": within(PP, 0.1, 1.0),
     "radius_counts": f"SELECT fnum, row_idx, count(*) AS n_within FROM ({within(EV, 2.5)}) GROUP BY fnum, row_idx",
@@ -385,3 +391,4 @@ ORACLES = {
     "alm_index": """SELECT id, l, id - l * l - l AS m, id AS back, (l + 1) * (l + 1) AS n FROM (
  SELECT o_orderkey AS id, CAST(floor(sqrt(o_orderkey + 0.5)) AS BIGINT) AS l FROM orders)""",
 }
+ORACLES["knn_join_blocks_open"] = ORACLES["knn_join_halos"]

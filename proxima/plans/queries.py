@@ -64,6 +64,41 @@ def knn_join_halos(spark, sf):
     return K.knn_join(V.halos(spark, sf, 3), V.points(spark, sf), 5)
 
 
+# The same questions cut into many small blocks with few rows per share, so that
+# links, outliers and merged shares all take part.
+SMALL = {"block_rows": 32, "ghost_rows": 128}
+
+
+def rnn_blocks_open(spark, sf):
+    return K.rnn_particles(V.points(spark, sf), N, **SMALL)
+
+
+def rnn_blocks_periodic(spark, sf):
+    return K.rnn_particles(V.points_periodic(spark, sf), N, 1.0, **SMALL)
+
+
+def rnn_halos_blocks_open(spark, sf):
+    return K.rnn_halos(V.halos(spark, sf, 3), V.points(spark, sf), N, **SMALL)
+
+
+def rnn_halos_blocks_periodic(spark, sf):
+    halos, points = V.points_periodic(spark, sf), V.points_periodic(spark, sf)
+    halos = halos.select(F.col("row_idx").alias("halo_file_index"), (F.col("row_idx") + 1000).alias("id"), *XYZ)
+    return K.rnn_halos(halos, points, N, 1.0, **SMALL)
+
+
+def knn_pairs_blocks_open(spark, sf):
+    return K.knn_pairs(V.points(spark, sf), 5, **SMALL)
+
+
+def knn_pairs_blocks_periodic(spark, sf):
+    return K.knn_pairs(V.points_periodic(spark, sf), 5, 1.0, **SMALL)
+
+
+def knn_join_blocks_open(spark, sf):
+    return K.knn_join(V.halos(spark, sf, 3), V.points(spark, sf), 5, **SMALL)
+
+
 # --- fixed radius ----------------------------------------------------------------------
 
 def radius_pairs_open(spark, sf):
@@ -392,7 +427,9 @@ QUERIES = {
     for f in (
         rnn_particles_open, rnn_particles_periodic, rnn_particles_buffer, rnn_ties_events,
         rnn_crowded_lineitem, rnn_halos_coincident, rnn_halos_offset, knn_pairs_open,
-        knn_pairs_periodic, knn_join_halos, radius_pairs_open, radius_pairs_periodic,
+        knn_pairs_periodic, knn_join_halos, rnn_blocks_open, rnn_blocks_periodic,
+        rnn_halos_blocks_open, rnn_halos_blocks_periodic, knn_pairs_blocks_open,
+        knn_pairs_blocks_periodic, knn_join_blocks_open, radius_pairs_open, radius_pairs_periodic,
         radius_counts, wrap_positions, pair_distance_periodic, bbox_grid, bbox_coalesced,
         bbox_index_text, box_decompose_periodic, point_in_box_buffered, box_pairs_touch,
         file_overlap, file_overlap_periodic, buffered_read, halo_box_assign, halo_box_growth,

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("orders", "lineitem", "events", "embeddings")
+TABLES = ("orders", "lineitem", "events", "embeddings", "documents", "pages", "benchmark", "conversations")
 
 
 @pytest.fixture(scope="module")
