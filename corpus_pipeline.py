@@ -7,8 +7,6 @@ documents, the last the encoded texts.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from proxima.llm.langid import keep_identified
 from proxima.llm.lines import drop_boilerplate
 from proxima.llm.pieces import encode
 from proxima.llm.simhash import keep_one
-from proxima.session import shared_dir
+from proxima.session import stage_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for at, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{at}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{at}")
+    for _, stage in STAGES:
+        docs = stage_table(stage(spark, docs, sf_dir), "stage")
     return docs

@@ -1,3 +1,4 @@
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -116,7 +117,7 @@ def all_paths(own, segment):
             if held:
                 go(end, score + held[1], [*ids, held[0]])
         if at < len(segment) and not own.pieces.get(segment[at]):
-            go(at + 1, score + own.fallback, ids + list(own._ids(segment[at], [(0, -1)])))
+            go(at + 1, score + own.fallback, ids + list(array("i", own._ids(segment[at], [(0, -1)]))))
 
     go(0, 0.0, [])
     return sorted(out, key=lambda x: -x[0])
