@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import boxes_touch
 
-MAX_LEVEL = 16
+#: Cell numbers are 32-bit; only levels in use cost anything.
+MAX_LEVEL = 30
 
 
 def _level(cols, size: float) -> Column:

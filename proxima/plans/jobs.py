@@ -12,7 +12,7 @@ from ..operators.boxes import assign_boxes, file_boxes, number_boxes
 from ..operators.knn import rnn_halos, rnn_particles, wrap_points
 from ..session import stage_table
 from ..sinks.files import write_boxes, write_halo_rnn, write_rnn_files, write_sidecar
-from ..sources.catalogue import read_catalogue
+from ..sources.catalogue import check_ids, read_catalogue, read_sidecar
 from ..sources.snapshot import file_info, read_snapshot, snapshot_files, snapshot_paths
 
 
@@ -24,16 +24,19 @@ def period_of(config: RunConfig) -> float:
 def load_points(spark: SparkSession, config: RunConfig):
     length = period_of(config)
     points = read_snapshot(spark, config.snapshot_file_list, config.simulation_type)
-    return (wrap_points(points, length) if is_periodic(length) else points), length
+    # parsed once: zone map, survey, positions and the join back all read them
+    return stage_table(wrap_points(points, length) if is_periodic(length) else points, "points"), length
 
 
 def run(spark: SparkSession, config: RunConfig | str, strict: bool = True,
-        sidecar: bool = False) -> DataFrame:
+        sidecar: bool | str = False) -> DataFrame:
     """Zone map, then distances for the particles or for a catalogue.
 
     The catalogue job runs when HaloFile is set. Files are written under
     OutputPath; the distances are returned as well. ``strict`` fails the job
-    when a distance exceeds DomainBuffSize.
+    when a distance exceeds DomainBuffSize. ``sidecar`` true writes which box each
+    entry belongs to; the path of such a file reads it back instead, checks its ids
+    against the catalogue's and returns its columns with the distances.
     """
     if isinstance(config, str):
         config = read_config(config)
@@ -51,11 +54,15 @@ def run(spark: SparkSession, config: RunConfig | str, strict: bool = True,
         read_catalogue(spark, config.halo_file, config.halo_file_format, length), "halos"
     )
     base = os.path.basename(config.halo_file)
-    if sidecar:
+    if isinstance(sidecar, str):
+        halos = stage_table(check_ids(halos, read_sidecar(spark, sidecar)), "placed-halos")
+    elif sidecar:
         placed = halos.join(assign_boxes(halos, boxes), "halo_file_index")
         write_sidecar(placed, f"{config.output_path}/bbox_{base}")
     rnn = stage_table(
         rnn_halos(halos, points, config.n_rnn, length, config.domain_buff_size, strict), "rnn"
     )
     write_halo_rnn(rnn, config.n_rnn, f"{config.output_path}/rnn_{base}")
+    if isinstance(sidecar, str):
+        return rnn.join(halos.select("halo_file_index", "bbox_file_index", "bbox_index"), "halo_file_index")
     return rnn

@@ -11,27 +11,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.knn import rnn_halos
 from ..session import stage_table
-from ..sources.catalogue import parse_catalogue
+from ..sources.catalogue import catalogue_text, number_lines, parse_catalogue
 
 
 def run_feed(spark: SparkSession, folder: str, layout: str, points: DataFrame, n: int,
              out: str, checkpoint: str, length=None, max_radius=None, files_per_chunk: int = 64):
     """Process all files now in ``folder``; returns the finished stream.
 
-    Rows written: source file, entry id, rnn, certified. Header lines, which
-    start with #, are skipped.
+    Rows written: source file, entry id, rnn, certified. As in a batch job, the
+    first line of each file is its header.
     """
-    lines = (
-        spark.readStream.option("maxFilesPerTrigger", files_per_chunk).text(folder)
-        .select("value", F.col("_metadata.file_name").alias("source"))
-        .filter(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0))
-    )
+    lines = catalogue_text(spark.readStream.option("maxFilesPerTrigger", files_per_chunk).text(folder))
 
     def chunk(batch: DataFrame, number: int):
-        # The place in the chunk is written down once: a lost executor must not
-        # give rows new numbers.
-        key = F.monotonically_increasing_id()
-        batch = stage_table(batch.withColumn("halo_file_index", key), "chunk")
+        batch = stage_table(
+            number_lines(batch).filter(F.length(F.trim("value")) > 0)
+            .withColumn("source", F.element_at(F.split("_file", "/"), -1)), "chunk")
         halos = parse_catalogue(batch.select("halo_file_index", "value"), layout, length)
         rnn = rnn_halos(halos, points, n, length, max_radius)
         named = rnn.join(batch.select("halo_file_index", "source"), "halo_file_index")

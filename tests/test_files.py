@@ -166,3 +166,16 @@ def test_halo_job(spark, job):
     side = (tmp / "out" / "bbox_my.halos").read_text().splitlines()
     assert side[0] == "#ID FileInd BBoxInd" and len(side) == len(h) + 1
     assert os.path.exists(tmp / "boxes.txt")
+    again = run(spark, parse_config(text), sidecar=str(tmp / "out" / "bbox_my.halos")).orderBy("halo_file_index").collect()
+    assert [f"{r['id']} {r['bbox_file_index']} {r['bbox_index']}" for r in again] == side[1:]
+    (tmp / "other").write_text("\n".join([side[0], *side[2:], side[1]]) + "\n")
+    with pytest.raises(Exception, match="ids differ"):
+        run(spark, parse_config(text), sidecar=str(tmp / "other"))
+
+
+def test_catalogue_folder_has_a_header_in_each_file(spark, tmp_path):
+    for name, ids in (("a", (1, 2, 3)), ("b", (4,)), ("c", ())):
+        rows = "".join(f"{i} 1 0 0 0 0 0 0 {i}.5 2 3 0 0 0 5\n" for i in ids)
+        (tmp_path / name).write_text("anything\n" + rows)
+    got = read_catalogue(spark, str(tmp_path), "SKELETON").orderBy("halo_file_index").collect()
+    assert [(r["halo_file_index"], r["id"], r["px"]) for r in got] == [(0, 1, 1.5), (1, 2, 2.5), (2, 3, 3.5), (3, 4, 4.5)]
