@@ -2,7 +2,7 @@ import hashlib
 import json
 import re
 
-from conftest import prose
+from llm_samples import none, odd, prose  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from proxima.llm import chat, pii

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import prose
+from llm_samples import none, odd, prose  # noqa: F401  (fixtures)
 
 from proxima.llm import decontam, lines
 

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest import prose
+from llm_samples import none, odd, prose  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from proxima.llm import langid, simhash

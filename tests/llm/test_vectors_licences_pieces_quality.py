@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+from llm_samples import none, odd, prose  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from proxima.llm import ann, licences, pieces, quality
