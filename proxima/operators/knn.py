@@ -44,6 +44,9 @@ MOST_BLOCK_ROWS = 65000
 GHOST_ROWS = 65536
 PARTITION_ROWS = 1 << 20
 MERGED_SHARES = 8
+# Positions with more rows than this, and than a MOST_HOT-th of all, are joined by broadcast.
+HOT_ROWS = 1 << 20
+MOST_HOT = 10_000
 SLACK = 1 + 1e-5
 
 
@@ -416,13 +419,34 @@ def _finish(df: DataFrame, r2: Column, max_radius, strict: bool) -> DataFrame:
     return df.withColumn("rnn", F.when(ok, rnn) if not strict else rnn).withColumn("certified", ok)
 
 
-def _at_positions(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with what was found for their position; places that hold a null are places too."""
-    found = found.withColumnsRenamed({c: f"_at_{c}" for c in XYZ})
+def _same_place(other: DataFrame) -> tuple[DataFrame, Column]:
+    """``other`` with its coordinates renamed, and the condition that joins it; nulls equal nulls."""
     same = F.lit(True)
     for c in XYZ:
         same &= F.col(c).eqNullSafe(F.col(f"_at_{c}"))
-    return rows.join(found, same).drop(*(f"_at_{c}" for c in XYZ))
+    return other.withColumnsRenamed({c: f"_at_{c}" for c in XYZ}), same
+
+
+def _at_positions(rows: DataFrame, found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` with what was found for their position, unknown places included.
+
+    A position shared by very many rows would be one task of the join. There
+    are at most ``MOST_HOT`` of those beyond ``HOT_ROWS``, so their results are
+    broadcast and their rows stay where they are; only the others are shuffled.
+    """
+    def meet(left, right, how="inner"):
+        right, same = _same_place(right)
+        return left.join(right, same, how).drop(*(f"_at_{c}" for c in XYZ))
+
+    total, most = blocks.agg(F.sum("nq"), F.max("nq")).first()
+    limit = max(HOT_ROWS, (total or 0) // MOST_HOT)
+    if (most or 0) <= limit:
+        return meet(rows, found)
+    found = stage_table(found, "found")
+    hot = F.broadcast(blocks.filter(F.col("nq") > limit).select(*XYZ))
+    return meet(rows, F.broadcast(meet(found, hot, "left_semi"))).unionByName(
+        meet(meet(rows, hot, "left_anti"), meet(found, hot, "left_anti"))
+    )
 
 
 def rnn_particles(points: DataFrame, n: int, length=None, max_radius=None, strict=False,
@@ -444,7 +468,7 @@ def rnn_particles(points: DataFrame, n: int, length=None, max_radius=None, stric
     found = stage_table(found, "found")
     shared = found.filter(F.col("nq") > 1).select(*XYZ, "rnn", "certified")
     return found.filter(F.col("nq") == 1).select(*named).unionByName(
-        _at_positions(points, shared).select(*out)
+        _at_positions(points, shared, blocks).select(*out)
     )
 
 
@@ -459,10 +483,10 @@ def rnn_halos(halos: DataFrame, points: DataFrame, n: int, length=None, max_radi
     found, blocks = rank_distances(points, halos, n, length, max_radius, block_rows, ghost_rows)
     r2 = F.when(F.col("first_r2") == f32(0.0), F.col("next_r2")).otherwise(F.col("nth_r2"))
     found = _finish(found, r2, max_radius, strict).select(*XYZ, "rnn", "certified")
-    return _at_positions(halos, found).select("halo_file_index", "id", "rnn", "certified")
+    return _at_positions(halos, found, blocks).select("halo_file_index", "id", "rnn", "certified")
 
 
-def _emit_lists(rows: DataFrame, found: DataFrame, keep: list[str], k: int, drop_self: bool):
+def _emit_lists(rows: DataFrame, found: DataFrame, blocks: DataFrame, keep: list[str], k: int, drop_self: bool):
     near = F.col("near")
     if drop_self:
         near = F.filter(
@@ -471,7 +495,7 @@ def _emit_lists(rows: DataFrame, found: DataFrame, keep: list[str], k: int, drop
                 (e["ia"] == F.col("fnum").cast("bigint")) & (e["ib"] == F.col("row_idx"))
             ),
         )
-    joined = _at_positions(rows, found.select(*XYZ, "near"))
+    joined = _at_positions(rows, found.select(*XYZ, "near"), blocks)
     return joined.select(*keep, F.posexplode(F.slice(near, 1, k)).alias("_p", "_e")).select(
         *keep,
         (F.col("_p") + 1).cast("bigint").alias("rank"),
@@ -491,7 +515,7 @@ def knn_pairs(points: DataFrame, k: int, length=None, block_rows=BLOCK_ROWS,
     points = wrap_points(points, length)
     blocks, links, heavy = _prepare(points, None, k, length, True, None, block_rows, ghost_rows)
     found = _answer(blocks, links, heavy, k, length, True, True)
-    return _emit_lists(points, found, ["fnum", "row_idx"], k, drop_self=True)
+    return _emit_lists(points, found, blocks, ["fnum", "row_idx"], k, drop_self=True)
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, length=None,
@@ -502,4 +526,4 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, length=None,
         points, queries, k, length, True, None, block_rows, ghost_rows
     )
     found = _answer(blocks, links, heavy, k, length, True, True)
-    return _emit_lists(queries, found, ["halo_file_index", "id"], k, drop_self=False)
+    return _emit_lists(queries, found, blocks, ["halo_file_index", "id"], k, drop_self=False)

@@ -122,3 +122,18 @@ def test_lists_over_many_blocks(spark, length):
     for i in range(0, len(xyz), 37):
         order = [j for j in np.lexsort((np.arange(len(xyz)), r2[i])) if j != i][:4]
         assert [(n, j) for n, _, j in sorted(got[i])] == [(k + 1, j) for k, j in enumerate(order)]
+
+
+def test_hot_positions_are_joined_apart(spark, monkeypatch):
+    from proxima.operators import knn
+
+    xyz = clustered()
+    points = make_points(spark, xyz)
+    halos = make_halos(spark, np.concatenate([xyz[-300:], xyz[:50]]))
+    def answers():
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        return [rows(knn.rnn_particles(points, 5)), rows(knn.rnn_halos(halos, points, 5)), rows(knn.knn_pairs(points, 3))]
+
+    usual = answers()
+    monkeypatch.setattr(knn, "HOT_ROWS", 50)
+    assert answers() == usual
