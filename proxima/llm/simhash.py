@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proxima.llm.common import free_name, ship_module, stage_table, table
@@ -61,15 +61,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(majority.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fingerprint long) of every row."""
+def _printed(text: Column, words: int) -> Column:
     ship_module(__name__)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", of(F.col("text")).alias("fingerprint"))
+    return of(text)
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, fingerprint long) of every row."""
+    return docs.select("doc_id", _printed(F.col("text"), words).alias("fingerprint"))
 
 
 def _flatten(root: np.ndarray) -> None:
@@ -188,45 +192,43 @@ def tile_pairs(different: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, fingerprint long, component_id) of every row of ``docs``."""
+def _rooted(printed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(fingerprint, least, root) of every different fingerprint: its smallest id, and its group."""
     ship_module(__name__)
-    printed = stage_table(fingerprints(docs, words), "fingerprints")
     different = stage_table(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "different")
     edges = tile_pairs(different, radius, tile).mapInArrow(lambda it: _compare(it, radius), "u long, v long")
     roots = components(edges).select(F.col("node").alias("fingerprint"), "root")
-    rooted = stage_table(different.join(roots, "fingerprint", "left")
-                         .withColumn("root", F.coalesce("root", "fingerprint")), "rooted")
+    return stage_table(different.join(roots, "fingerprint", "left")
+                       .withColumn("root", F.coalesce("root", "fingerprint")), "rooted")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(doc_id, fingerprint long, component_id) of every row of ``docs``."""
+    printed = stage_table(fingerprints(docs, words), "fingerprints")
+    rooted = _rooted(printed, radius, tile)
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stage_table(rooted.join(groups, "root").select("fingerprint", "component_id"), "named")
     return printed.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """The documents, all their columns, with one row left of each group.
 
-    The row with the group's id stays, one of them where an id is repeated. In
-    a group without any id, one row stays for each different text.
+    The row with the group's id stays, a row without an id where the group has
+    none. An id may stand on different texts, so rows are told apart by id and
+    fingerprint: groups with the same id keep one row each. Of rows alike in
+    both, which are of one group, one stays.
     """
-    found = near_duplicates(docs, words, radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    key = free_name(docs, "kept_id")
-    kept = stage_table(kept.withColumnRenamed("doc_id", key), "kept")
-    stay = docs.join(kept, docs["doc_id"] == kept[key], "left_semi").dropDuplicates(["doc_id"])
-    lone = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty() or lone.isEmpty():
-        return stay
-    mark = free_name(docs, "print")
-    ship_module(__name__)
-
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
-
-    lone = lone.withColumnRenamed("fingerprint", mark)
-    rest = nameless.withColumn(mark, of(F.col("text"))).join(lone, mark, "left_semi").drop(mark)
-    return stay.unionAll(rest.dropDuplicates(["text"]))
+    key, mark, kept_mark = (free_name(docs, n) for n in ("kept_id", "print", "kept_print"))
+    # written with the documents, so that no text is read for its fingerprint twice
+    marked = stage_table(docs.withColumn(mark, _printed(docs["text"], words)), "marked")
+    rooted = _rooted(marked.select("doc_id", F.col(mark).alias("fingerprint")), radius, tile)
+    # ids before null, then the smallest id, then the smallest fingerprint that has it
+    first = F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "fingerprint")).alias("first")
+    kept = stage_table(rooted.groupBy("root").agg(first).select(
+        F.col("first.least").alias(key), F.col("first.fingerprint").alias(kept_mark)), "kept")
+    same = marked["doc_id"].eqNullSafe(kept[key]) & (marked[mark] == kept[kept_mark])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -100,6 +100,15 @@ def test_one_of_each_group_stays(odd):
     assert sum(r["doc_id"] is None for r in rows) == 1
 
 
+def test_groups_with_the_same_id_keep_one_row_each(spark):
+    rows = [(1, prose(21, 90)), (1, prose(22, 90)), (2, prose(21, 90)), (3, prose(22, 90)), (2, prose(23, 90)), (1, prose(21, 90)),
+            (None, prose(22, 90)), (None, prose(24, 90)), (None, prose(24, 90)), (None, prose(25, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is None, r)
+    kept = sorted((tuple(r) for r in simhash.keep_one(docs).collect()), key=key)
+    assert kept == sorted([rows[0], rows[1], rows[4], rows[7], rows[9]], key=key)
+
+
 def test_simhash_of_nothing(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.keep_one(none).count() == 0
