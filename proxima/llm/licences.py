@@ -1,12 +1,19 @@
 """Licence scans: normalised text against licence templates by Dice coefficient.
 
 Texts and templates become lower-case words of letters and digits. Compared are
-bags of word bigrams: twice the bigrams in common over the bigrams of both. Units
-of a document are the whole text, each line, and each run of neighbouring lines
-most of whose bigrams occur in some template, which is how a licence stands
-inside other text. Two bags of a and b bigrams reach a coefficient of 2 min(a, b)
-/ (a + b) at most, so a unit only meets the templates whose size is within
-THRESHOLD / (2 - THRESHOLD) of its own.
+bags of word bigrams: twice the bigrams in common over the bigrams of both. A text
+that matches as a whole is one unit. Other units are windows of its words, found by
+position whatever the lines: for each place where a template's bigram stands, the
+end that gives the highest coefficient. Of a template's windows those are chosen
+that do not overlap and whose coefficients sum to the most, so licences that follow one
+another, or the same one twice, are found apart. Two bags of a and b bigrams reach a
+coefficient of 2 min(a, b) / (a + b) at most, so a window is at most (2 - THRESHOLD)
+/ THRESHOLD times as long as its template, and only places with enough of the
+template's bigrams within that length are looked at.
+
+Overlapping windows of templates of about the same size are one licence, the one
+with the higher coefficient. A template whose wording is part of a larger one's is
+not listed inside a match of that. Others may overlap: both are listed.
 
 A document is scanned where it lies: nothing is shuffled, and what tasks share is
 the table of templates below. Texts are read whole.
@@ -29,8 +36,6 @@ from pyspark.sql import functions as F
 from proxima.llm.common import ship_module, table, words_of
 
 THRESHOLD = 0.8
-#: Lines with this share of their bigrams known are joined into runs.
-KNOWN = 0.5
 
 #: Wordings of public licences and of the notices that refer to them.
 TEMPLATES = {
@@ -104,22 +109,105 @@ TEMPLATES = {
 }
 
 
+class Windows:
+    """Windows of one text that match one template."""
+
+    def __init__(self, at: np.ndarray, ids: np.ndarray, size: int, times: dict[int, int], room: float, threshold: float):
+        self.size, self.times, self.threshold = size, times, threshold
+        self.longest = int(size / room + 1e-9)
+        behind = np.searchsorted(at, at + self.longest)
+        self.starts = np.flatnonzero(behind - np.arange(len(at)) >= size * room - 1e-9).tolist()
+        self.at, self.ids = at.tolist(), ids.tolist()
+        self.ends: dict[int, tuple[float, int] | None] = {}
+
+    def chosen(self, hidden: np.ndarray | None) -> list[tuple[float, int, int]]:
+        """(coefficient, start, end) of windows that do not overlap, clear of what is hidden."""
+        shut = np.flatnonzero(hidden) if hidden is not None else np.zeros(0, np.int64)
+        found = []
+        for index in self.starts:
+            start, limit = self.at[index], self.at[-1] + 1
+            if len(shut):
+                if hidden[start]:
+                    continue
+                k = int(np.searchsorted(shut, start))
+                limit = int(shut[k]) if k < len(shut) else limit
+            if index not in self.ends:
+                self.ends[index] = self.best(index, self.at[-1] + 1)
+            best = self.ends[index]
+            if best and best[1] > limit:
+                best = self.best(index, limit)
+            if best:
+                found.append((best[0], start, best[1]))
+        begins = [x[1] for x in found]
+        # total[i]: the most that windows from the i-th on sum to
+        total, follow = [0.0] * (len(found) + 1), [0] * len(found)
+        for i in range(len(found) - 1, -1, -1):
+            follow[i] = bisect_left(begins, found[i][2])
+            total[i] = max(total[i + 1], found[i][0] + total[follow[i]])
+        out, i = [], 0
+        while i < len(found):
+            if total[i] > total[i + 1]:
+                out.append(found[i])
+                i = follow[i]
+            else:
+                i += 1
+        return out
+
+    def best(self, start: int, limit: int) -> tuple[float, int] | None:
+        """Coefficient and end of the best window from a start, before ``limit``."""
+        at, ids, times, size = self.at, self.ids, self.times, self.size
+        first, held, most, end = at[start], 0, 0.0, 0
+        limit = min(limit, first + self.longest)
+        used: dict[int, int] = {}
+        for j in range(start, len(at)):
+            place = at[j]
+            if place >= limit:
+                break
+            n = used.get(ids[j], 0)
+            if n < times[ids[j]]:
+                used[ids[j]] = n + 1
+                held += 1
+                dice = 2.0 * held / (place + 1 - first + size)
+                if dice > most:
+                    most, end = dice, place + 1
+        return (most, end) if most >= self.threshold else None
+
+
 class Templates:
-    """The templates' bags of bigrams by size; ``known`` marks the bigrams that any has."""
+    """The templates' bags of bigrams by size; ``place`` numbers the bigrams that any has, -1 for others."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.ids: dict[bytes, int] = {}
         coded = {n: np.array([self.ids.setdefault(w, len(self.ids)) for w in words_of(t)], np.int64)
                  for n, t in templates.items()}
         self.base = len(self.ids)
-        self.known = np.zeros(self.base * self.base, bool)
         held = []
         for name, ids in coded.items():
             pairs, counts = np.unique(ids[:-1] * self.base + ids[1:], return_counts=True)
-            self.known[pairs] = True
             held.append((int(counts.sum()), name, pairs, counts))
         self.held = sorted(held, key=lambda x: x[:2])
         self.sizes = [x[0] for x in self.held]
+        known = np.unique(np.concatenate([x[2] for x in held]))
+        self.place = np.full(self.base * self.base, -1, np.int32)
+        self.place[known] = np.arange(len(known))
+        self.bags = np.zeros((len(held), len(known)), np.int64)
+        for k, (_, _, pairs, counts) in enumerate(self.held):
+            self.bags[k, self.place[pairs]] = counts
+        self.times = [dict(zip(np.flatnonzero(b).tolist(), b[b > 0].tolist())) for b in self.bags]
+        self.has = self.bags > 0
+        alike = THRESHOLD / (2.0 - THRESHOLD)
+        #: those that a match of each template keeps from being listed at the same place, itself included
+        self.hides: list[list[int]] = [[] for _ in held]
+        #: how many templates deep a template's wording lies in larger ones; these are looked for first
+        self.depth = [0] * len(held)
+        for k in reversed(range(len(held))):
+            for m, size in enumerate(self.sizes):
+                part = m < k and size < alike * self.sizes[k] and (
+                    int(np.minimum(self.bags[k], self.bags[m]).sum()) >= THRESHOLD * size)
+                if part:
+                    self.depth[m] = max(self.depth[m], self.depth[k] + 1)
+                if part or min(size, self.sizes[k]) >= alike * max(size, self.sizes[k]):
+                    self.hides[k].append(m)
 
     def best(self, pairs: np.ndarray, size: int, threshold: float) -> tuple[str, float] | None:
         """The closest template of a unit with ``size`` bigrams, ``pairs`` those of them that are known."""
@@ -137,10 +225,7 @@ class Templates:
         return found
 
     def scan(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
-        """(licence, first line, line behind the last, coefficient) of each unit that matches.
-
-        A run or line inside longer matches of the same licence is not listed again.
-        """
+        """(licence, first line, line behind the last, coefficient) of each unit that matches, in order."""
         get, ids, bounds = self.ids.get, [], [0]
         for line in (text or "").split("\n"):
             ids += [get(w, -1) for w in words_of(line)]
@@ -149,35 +234,43 @@ class Templates:
             return []
         code = np.array(ids, np.int64)
         pairs = np.where((code[:-1] >= 0) & (code[1:] >= 0), code[:-1] * self.base + code[1:], -1)
-        hit = (pairs >= 0) & self.known[pairs]
-        if not hit.any():
+        place = np.where(pairs >= 0, self.place[pairs], -1)
+        at = np.flatnonzero(place >= 0)
+        if not len(at):
             return []
-        reach = np.concatenate([[0], np.cumsum(hit)])
-        first, last = np.array(bounds[:-1]), np.array(bounds[1:])
-        inside = np.maximum(last - first - 1, 0)
-        share = reach[np.maximum(last - 1, first)] - reach[first]
-        lines = np.flatnonzero((share > 0) & (share >= KNOWN * inside))
-        units = [(0, len(first))]
-        filled = np.flatnonzero(last > first)
-        # lines that stand behind one another, blank ones aside, form a run
-        rank = np.searchsorted(filled, lines)
-        for run in np.split(lines, np.flatnonzero(np.diff(rank) != 1) + 1) if len(lines) else []:
-            units.append((int(run[0]), int(run[-1]) + 1))
-        units += [(int(k), int(k) + 1) for k in lines]
+        room, known = threshold / (2.0 - threshold), place[at]
+        hidden = {}
         out: list[tuple[str, int, int, float]] = []
-        told: dict[str, np.ndarray] = {}
-        for start, end in units:
-            a, b = bounds[start], bounds[end] - 1
-            if b <= a:
-                continue
-            own = pairs[a:b][hit[a:b]]
-            found = self.best(own, b - a, threshold) if len(own) else None
-            if found:
-                marked = told.setdefault(found[0], np.zeros(len(first), bool))
-                if not marked[start:end].all():
-                    out.append((found[0], start, end, found[1]))
-                    marked[start:end] = True
-        return out
+
+        def take(k: int, start: int, end: int) -> None:
+            for m in self.hides[k]:
+                hidden.setdefault(m, np.zeros(len(pairs), bool))[start:end] = True
+
+        whole = self.best(pairs[at], len(pairs), threshold)
+        if whole:
+            out.append((whole[0], 0, len(bounds) - 1, whole[1]))
+            take(next(k for k, x in enumerate(self.held) if x[1] == whole[0]), 0, len(pairs))
+        windows: dict[int, Windows] = {}
+        enough = np.array(self.sizes) * room - 1e-9
+        for k in np.flatnonzero(self.has[:, known].sum(1) >= np.maximum(enough, 1)).tolist():
+            own = self.has[k, known]
+            windows[k] = Windows(at[own], known[own], self.sizes[k], self.times[k], room, threshold)
+        for depth in sorted({self.depth[k] for k in windows}):
+            todo = {k for k in windows if self.depth[k] == depth}
+            while todo:
+                found = sorted((-dice, self.held[k][1], start, end, k)
+                               for k in todo for dice, start, end in windows[k].chosen(hidden.get(k)))
+                # those that others have cut are chosen anew
+                todo = set()
+                for dice, name, start, end, k in found:
+                    if k in hidden and hidden[k][start:end].any():
+                        todo.add(k)
+                        continue
+                    take(k, start, end)
+                    # the window's words are those from start to end, both included
+                    lines = np.searchsorted(bounds, [start, end], "right")
+                    out.append((name, int(lines[0]) - 1, int(lines[1]), -dice))
+        return sorted(out, key=lambda m: m[1:3])
 
 
 def licences(docs: DataFrame, text: Column, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> Column:

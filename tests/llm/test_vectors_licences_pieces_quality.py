@@ -1,3 +1,4 @@
+import textwrap
 from array import array
 from collections import Counter
 
@@ -106,6 +107,23 @@ def test_licences_inside_documents(spark, odd, none):
     assert none.select(licences.licences(none, none["text"])).count() == 0
 
 
+def wrapped(name):
+    return textwrap.fill(" ".join(licences.TEMPLATES[name].split()), 70)
+
+
+@pytest.mark.parametrize("names", [
+    ("MIT", "ISC"), ("MIT", "BSD-2-Clause"), ("MIT", "MIT"), ("Apache-2.0 notice", "GPL-3.0 notice"), ("Zlib", "MIT", "MIT", "ISC", "Zlib")])
+def test_licences_in_a_row(names):
+    own = licences.Templates()
+    for apart in ("\n", "\n\n", " "):
+        texts = [wrapped(n) for n in names]
+        got = own.scan(prose(1, 30) + "\n" + apart.join(texts) + "\n" + prose(2, 30))
+        assert [(m[0], m[3]) for m in got] == [(n, 1.0) for n in names]
+        if apart == "\n":
+            ends = np.cumsum([1, *(t.count("\n") + 1 for t in texts)]).tolist()
+            assert [m[1:3] for m in got] == list(zip(ends, ends[1:]))
+
+
 def all_paths(own, segment):
     out = []
 
