@@ -124,6 +124,18 @@ def test_licences_in_a_row(names):
             assert [m[1:3] for m in got] == list(zip(ends, ends[1:]))
 
 
+def test_licences_inside_a_line():
+    own = licences.Templates()
+    said = "This is a site. Released under the MIT License. See the web page for more of it, and of the rest."
+    assert own.scan(said) == [("MIT notice", 0, 1, 1.0)]
+    mit = " ".join(licences.TEMPLATES["MIT"].split())
+    assert own.scan(prose(1, 250) + " " + mit + " " + prose(2, 250)) == [("MIT", 0, 1, 1.0)]
+    # altered ones: words changed, lost and put in
+    worn = mit.replace("Software", "Work").replace("free of charge, ", "").replace("WITHOUT WARRANTY", "WITHOUT ANY WARRANTY")
+    got = own.scan(prose(1, 250) + " " + worn + " " + worn + "\n" + prose(2, 250))
+    assert [m[:3] for m in got] == [("MIT", 0, 1)] * 2
+
+
 def all_paths(own, segment):
     out = []
 
