@@ -109,6 +109,27 @@ TEMPLATES = {
 }
 
 
+def _like(name: str, *changes: tuple[str, str]) -> str:
+    """A template's words with parts of them replaced, each of which it has."""
+    text = " ".join(TEMPLATES[name].split())
+    for old, new in changes:
+        assert old in text, old
+        text = text.replace(old, new)
+    return text
+
+
+#: Relatives, which would else be taken for the templates that they differ little from.
+TEMPLATES |= {
+    "BSD-3-Clause": _like("BSD-2-Clause", ("THIS SOFTWARE IS PROVIDED", """3. Neither the name of the copyright holder nor the
+        names of its contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission. THIS SOFTWARE IS PROVIDED""")),
+    "AGPL-3.0 notice": _like("GPL-3.0 notice", ("GNU General", "GNU Affero General")),
+    "LGPL-3.0 notice": _like("GPL-3.0 notice", ("GNU General", "GNU Lesser General")),
+    "LGPL-2.1 notice": _like("GPL-2.0 notice", ("GNU General", "GNU Lesser General"), ("version 2 of", "version 2.1 of"),
+                             ("This program", "This library"), ("this program", "this library")),
+}
+
+
 class Windows:
     """Windows of one text that match one template."""
 

@@ -136,6 +136,18 @@ def test_licences_inside_a_line():
     assert [m[:3] for m in got] == [("MIT", 0, 1)] * 2
 
 
+@pytest.mark.parametrize("name, said", [
+    ("AGPL-3.0 notice", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3"),
+    ("LGPL-2.1 notice", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"),
+    ("LGPL-3.0 notice", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products")])
+def test_relatives_get_their_own_name(name, said):
+    assert said in " ".join(licences.TEMPLATES[name].split())
+    own = licences.Templates()
+    for text in (wrapped(name), prose(1, 200) + " " + wrapped(name) + " " + prose(2, 200)):
+        assert [(m[0], m[3]) for m in own.scan(text)] == [(name, 1.0)]
+
+
 def all_paths(own, segment):
     out = []
 
