@@ -18,6 +18,11 @@ from proxima.llm.simhash import keep_one
 from proxima.session import stage_table
 
 
+#: Lines on more than this share of a source's documents are boilerplate. Menus and footers often
+#: belong to one section of a source, so the share is set for a source of some tens of sections.
+BOILERPLATE_RATIO = 0.02
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the rest (no letters at all) go."""
     return keep_identified(docs)
@@ -25,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a large share of a source's documents hold are dropped; every document stays."""
-    clean = drop_boilerplate(docs, docs["source"], "text")
+    clean = drop_boilerplate(docs, docs["source"], "text", BOILERPLATE_RATIO)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

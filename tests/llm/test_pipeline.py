@@ -64,3 +64,12 @@ def test_run(spark, tables):
     rows = corpus_pipeline.run(spark, tables).collect()
     assert 120 not in {r["doc_id"] for r in rows} and {122, 133} <= {r["doc_id"] for r in rows}
     assert sum(r["doc_id"] in (0, 100, 101, 102, 103) for r in rows) == 1
+
+
+def test_lines_of_a_section_are_boilerplate(spark):
+    said = ["Part of the archive section"] + [None] * 19
+    rows = [(i, "\n".join(filter(None, [said[i % 20], prose(i, 20)])), "en", "src") for i in range(200)]
+    rows = [(i, t + ("\nSeen four times" if i < 4 else ""), l, s) for i, t, l, s in rows]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.boilerplate(spark, docs, "").collect()}
+    assert got == {i: t.replace(said[0] + "\n", "") for i, t, _, _ in rows}
