@@ -156,8 +156,14 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """The documents, all their columns, whose language could be told."""
-    return docs.where(predict(docs, docs["text"], fit(docs, per_lang))["lang"] != UNKNOWN)
+    """The documents, all their columns, whose language could be told.
+
+    Where nothing could be learned, only texts without a letter go.
+    """
+    model = fit(docs, per_lang)
+    if not model.languages:
+        model = Model(("any",), np.zeros((1, 1 << BUCKET_BITS)), np.zeros(1))
+    return docs.where(predict(docs, docs["text"], model)["lang"] != UNKNOWN)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

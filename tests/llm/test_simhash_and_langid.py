@@ -139,6 +139,13 @@ def test_language_of_odd_documents(odd, none):
     assert langid.identify(none).count() == 0 and langid.keep_identified(none).count() == 0
 
 
+def test_documents_stay_without_a_model(odd):
+    blank = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_identified(blank)
+    assert sorted(r["text"] for r in kept.collect()) == sorted(
+        r["text"] for r in odd.collect() if any(c.isalpha() for c in r["text"] or ""))
+
+
 @pytest.mark.parametrize("text", [None, "", "123 !?"])
 def test_texts_without_letters(text):
     model = langid.Model(("de", "en"), np.zeros((2, 1 << langid.BUCKET_BITS)), np.zeros(2))
