@@ -90,4 +90,88 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit,
 FROM doc d LEFT JOIN hits h USING (n) LEFT JOIN items i USING (n)
 """
 
-ORACLES = {"op1_chat": _CHAT, "op6_line_dedup": _LINES, "op10_decontamination": _DECONTAMINATION}
+def _edit(path: str, cost: str, letters: str) -> str:
+    """SQL for a path with letters more behind."""
+    return f"(lpad(CAST(CAST(({path})[1:10] AS BIGINT) + {cost} AS VARCHAR), 10, '0') || ({path})[11:] || '{letters}')"
+
+
+def _crc_table() -> str:
+    """SQL that turns a list of bytes into the remainders of CRC-32, bit by bit."""
+    t = "t"
+    for _ in range(8):
+        t = f"list_transform({t}, lambda x: xor(x >> 1, (x & 1) * 3988292384))"
+    return t
+
+
+_REPAIR = rf"""
+WITH RECURSIVE bytes AS (
+  SELECT range(256) AS t
+), crc AS (
+  SELECT {_crc_table()} AS t FROM bytes
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), hashed AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 20 AS h
+  FROM keyed, crc
+), rows AS MATERIALIZED (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(CASE WHEN h = 3 THEN 2 ELSE 1 END) WHERE h <> 0
+), known AS (
+  SELECT *, role[1] AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), seen) AS i,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM rows)
+), faults AS MATERIALIZED (
+  SELECT *, CASE WHEN last = '' THEN 1 WHEN seen > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS ini_before FROM known
+), convs AS (
+  SELECT DISTINCT conv_id FROM conversations
+), counts AS (
+  SELECT c.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(i) AS n
+  FROM convs c LEFT JOIN faults f ON c.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY 1
+), paths AS (
+  -- the least path to each of the states none, s, u and a, as ten digits of cost and the letters
+  SELECT conv_id, 0::BIGINT AS i, '0000000000' AS f0, NULL::VARCHAR AS f1, NULL::VARCHAR AS f2, NULL::VARCHAR AS f3 FROM convs
+  UNION ALL
+  SELECT conv_id, i,
+    {_edit("f0", "4", "D")},
+    least({_edit("f1", "4", "D")}, CASE WHEN fine AND ini = 's' THEN {_edit("f0", "extra", "K")} END),
+    least({_edit("g2", "4", "D")}, CASE WHEN fine AND ini = 'u' THEN {_edit("into_u", "extra", "K")} WHEN fine THEN {_edit("into_u", "3 + extra", "R")} END),
+    least({_edit("g3", "4", "D")}, CASE WHEN fine AND ini = 'a' THEN {_edit("g2", "extra", "K")} WHEN fine THEN {_edit("g2", "3 + extra", "R")} END)
+  FROM (
+    SELECT *, least(f0, f1, g3) AS into_u FROM (
+      SELECT *, least(f2, {_edit("least(f0, f1, f3)", "3", "I")}) AS g2, least(f3, {_edit("f2", "3", "I")}) AS g3 FROM (
+        SELECT f.conv_id, f.i, f.ini, f.fault NOT IN (1, 2) AS fine, CASE WHEN f.fault = 3 THEN 3 ELSE 0 END AS extra, p.f0, p.f1, p.f2, p.f3
+        FROM paths p JOIN faults f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1)))
+), best AS (
+  SELECT c.conv_id, least(f0, f3, {_edit("f2", "3", "I")}, {_edit("f1", "6", "II")}) AS w
+  FROM counts c JOIN paths p ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i
+), verdicts AS MATERIALIZED (
+  SELECT conv_id, CAST(w[1:10] AS BIGINT) AS cost, w[11:] AS audit FROM best
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0::BIGINT AS i, '' AS before, '' AS said, FALSE AS begun FROM verdicts
+  UNION ALL
+  SELECT conv_id, pos, i, CASE WHEN letter = 'D' THEN before ELSE now[1] END,
+    CASE WHEN letter = 'D' THEN said ELSE said || CASE WHEN begun THEN chr(10) ELSE '' END || now || ':' || text END,
+    begun OR letter <> 'D'
+  FROM (
+    SELECT w.conv_id, w.pos + 1 AS pos, w.i + CASE WHEN letter = 'I' THEN 0 ELSE 1 END AS i, w.before, w.said, w.begun, letter,
+      CASE WHEN letter = 'K' THEN f.role WHEN w.before = 'u' THEN 'assistant' ELSE 'user' END AS now,
+      CASE WHEN letter = 'I' THEN '' ELSE f.text END AS text
+    FROM (SELECT w.*, v.audit[w.pos + 1] AS letter FROM walk w JOIN verdicts v
+          ON v.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos < length(v.audit)) w
+    LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)
+), done AS (
+  SELECT conv_id, arg_max(said, pos) AS said FROM walk GROUP BY conv_id
+)
+SELECT c.conv_id, c.gaps, c.blank, c.duplicate, c.truncated, c.illegal, v.cost, v.audit, sha256(d.said) AS repaired_sha256
+FROM counts c JOIN verdicts v ON c.conv_id IS NOT DISTINCT FROM v.conv_id JOIN done d ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+ORACLES = {
+    "op1_chat": _CHAT, "op6_line_dedup": _LINES, "op10_decontamination": _DECONTAMINATION, "op11_repair": _REPAIR}

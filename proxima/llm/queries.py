@@ -12,6 +12,7 @@ from proxima.llm.oracles import ORACLES  # noqa: F401  (read by the entry)
 from proxima.llm.pieces import op7_sentencepiece
 from proxima.llm.pii import op2_pii
 from proxima.llm.quality import op9_quality
+from proxima.llm.repair import op11_repair
 from proxima.llm.simhash import op3_simhash
 
 QUERIES = {
@@ -25,4 +26,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_repair": op11_repair,
 }
