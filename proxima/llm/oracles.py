@@ -173,5 +173,27 @@ SELECT c.conv_id, c.gaps, c.blank, c.duplicate, c.truncated, c.illegal, v.cost,
 FROM counts c JOIN verdicts v ON c.conv_id IS NOT DISTINCT FROM v.conv_id JOIN done d ON c.conv_id IS NOT DISTINCT FROM d.conv_id
 """
 
+_NEGATIVES = r"""
+WITH rows AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a, rows b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, p.positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLES = {
-    "op1_chat": _CHAT, "op6_line_dedup": _LINES, "op10_decontamination": _DECONTAMINATION, "op11_repair": _REPAIR}
+    "op1_chat": _CHAT, "op6_line_dedup": _LINES, "op10_decontamination": _DECONTAMINATION, "op11_repair": _REPAIR,
+    "op12_negatives": _NEGATIVES}
