@@ -2,52 +2,205 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sky as S, sky_grid as G
+from ..functions.stages import Rec, let, present, rec, staged
+from ..session import stage_table
 
 SHELL = 25.0
 
 
 def neighbor_rows(df: DataFrame, pix: Column, order, scheme: str = "nest") -> DataFrame:
     """One row per existing neighbour: adds direction (0..7) and nbr."""
-    near = (G.neighbors_nest if scheme == "nest" else G.neighbors_ring)(pix, order)
-    return df.select("*", F.posexplode(near).alias("direction", "nbr")).filter(
-        F.col("nbr").isNotNull()
-    )
+    to, back = (S._nest2xyf, S.xyf2nest) if scheme == "nest" else (S._ring2xyf, S.xyf2ring)
+    steps = F.array(*(F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx, dy in G.STEPS))
+    each = staged(df, _at=lambda: to(pix, order)).select("*", F.posexplode(steps).alias("direction", "_d"))
+    at = Rec({k: F.col(f"_at_{k}") for k in ("ix", "iy", "face")})
+
+    def number():
+        return let(G._step(at, F.col("_d.x"), F.col("_d.y"), order), lambda n: back(n["ix"], n["iy"], n["face"], order))
+
+    return present(staged(each, nbr=number), "nbr").select(*df.columns, "direction", "nbr")
+
+
+def disc_runs(df: DataFrame, theta: Column, phi: Column, radius: Column, order) -> DataFrame:
+    """An inclusive disc as runs of pixels, one row for each ring it meets.
+
+    Adds ring, first (place in the ring), count and ring_size: pixels (first + k) modulo
+    ring_size, k below count. Their centres lie within the radius plus a pixel's reach.
+    """
+    nside = S.order2nside(order)
+    reach = F.least(radius + F.lit(1.362 * S.PI) / (nside * 4), F.lit(S.PI))
+
+    def span():
+        def rings(r):
+            north = F.when(theta - r <= 0, S._long(1)).otherwise(S.ring_above(F.cos(theta - r), order) + 1)
+            south = F.when(theta + r >= S.PI, nside * 4 - 1).otherwise(S.ring_above(F.cos(theta + r), order))
+            return rec(north=north, south=south, edge=F.cos(r), z=F.cos(theta), s=F.sin(theta), phi=phi)
+
+        return let(reach, rings)
+
+    met = staged(df, _disc=span).withColumn("ring", F.explode(
+        F.when(F.col("_disc_north") <= F.col("_disc_south"), F.sequence("_disc_north", "_disc_south"))))
+    ring, at = F.col("ring"), {k: F.col(f"_disc_{k}") for k in ("edge", "z", "s", "phi")}
+
+    def run():
+        def half(h):
+            across = F.when(at["s"] > 1e-12, (at["edge"] - h["z"] * at["z"]) / (h["s"] * at["s"])).otherwise(
+                F.when(h["z"] * at["z"] >= at["edge"], -2.0).otherwise(2.0))
+            return let(across, lambda a: rec(
+                half=F.when(a <= -1.0, S.PI).when(a >= 1.0, -1.0).otherwise(F.acos(a)), size=h["size"], shift=h["shift"]))
+
+        def ends(h):
+            step = h["size"] / (2.0 * S.PI)
+            whole = h["half"] > S.PI - 1e-7
+            first = F.when(whole, S._long(0)).otherwise(S.ifloor((at["phi"] - h["half"]) * step - h["shift"] * 0.5) + 1)
+            last = F.when(whole, h["size"] - 1).otherwise(S.ifloor((at["phi"] + h["half"]) * step - h["shift"] * 0.5))
+            return let(rec(first=first, last=last), lambda e: F.when((h["half"] >= 0) & (e["first"] <= e["last"]), F.struct(
+                F.pmod(e["first"], h["size"]).alias("first"), (e["last"] - e["first"] + 1).alias("count"), h["size"].alias("ring_size"))))
+
+        about = rec(z=S.ring_z(ring, order), s=S.ring_sin(ring, order), size=S.ring_pixels(ring, order), shift=S.ring_shift(ring, order))
+        return let(let(about, half), ends)
+
+    return present(staged(met, _run=run), "_run").select(*df.columns, "ring", "_run.first", "_run.count", "_run.ring_size")
 
 
 def disc_rows(df: DataFrame, theta, phi, radius, order, name: str = "pix") -> DataFrame:
     """One row per nested pixel of an inclusive disc."""
-    return df.select(
-        "*", F.explode(G.query_disc_inclusive_nest(theta, phi, radius, order)).alias(name)
-    )
+    runs = disc_runs(df, theta, phi, radius, order).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    column = F.pmod(F.col("first") + F.col("_k"), F.col("ring_size"))
+    return staged(runs, **{name: lambda: S._nest_from(S._pixel_in_ring(F.col("ring"), column, order), order)}).select(*df.columns, name)
+
+
+def _cross(a, b) -> Rec:
+    return rec(x=a["y"] * b["z"] - a["z"] * b["y"], y=a["z"] * b["x"] - a["x"] * b["z"], z=a["x"] * b["y"] - a["y"] * b["x"])
+
+
+def _dot(a, b) -> Column:
+    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+
+
+def _triple(a, b, c) -> Column:
+    """Positive if c is to the left of the way from a to b, seen from outside."""
+    return _dot(c, _cross(a, b))
 
 
 def interp_triangle(df: DataFrame, key: str, theta: str, phi: str, order: int) -> DataFrame:
     """The triangle of pixel centres around each direction, with weights.
 
-    Returns (key, pix ARRAY<BIGINT>, wgt ARRAY<DOUBLE>). Triangles anchored
-    within two rings of neighbours are tried; a direction on a shared side
-    takes the triangle with the lowest pixels.
+    Returns (key, pix ARRAY<BIGINT>, wgt ARRAY<DOUBLE>). Each row is answered from itself:
+
+    * Sides are great circles and bulge towards the pole by less than a ring, so one
+      ring's edge at the direction's longitude tells which strip between two rings it lies in.
+    * In a strip, it lies beside the pixels B and C of the lower ring on either side of its
+      longitude. The lines from those to the ring above, from west to east, part the
+      triangles: B's fan, the edge from B to C, C's fan, C's edge.
+    * Within the first and the last ring there are the two triangles that close a pole.
+
+    A direction on a shared side takes the triangle to its north or east.
     """
-    at = df.select(key, theta, phi).withColumn("_at", S.ang2ring(F.col(theta), F.col(phi), order))
-    once = at.withColumn(
-        "_near", F.explode(F.array_append(G.neighbors_ring(F.col("_at"), order), F.col("_at")))
-    ).filter(F.col("_near").isNotNull())
-    twice = once.withColumn(
-        "_anchor",
-        F.explode(F.array_append(G.neighbors_ring(F.col("_near"), order), F.col("_near"))),
-    ).filter(F.col("_anchor").isNotNull())
-    # At most 81 anchors a direction, most of them twice.
-    anchors = twice.select(key, theta, phi, "_anchor").distinct()
-    tried = anchors.withColumn("_tri", F.explode(G.triangles(F.col("_anchor"), order))).withColumn(
-        "_fit", G.project_triangle(F.col(theta), F.col(phi), F.col("_tri"), order)
-    )
-    best = F.min(F.struct(F.col("_tri"), F.col("_fit.weights").alias("w"))).alias("_b")
-    return tried.filter(F.col("_fit.inside")).groupBy(key).agg(best).select(
-        key, F.col("_b._tri").alias("pix"), F.col("_b.w").alias("wgt")
-    )
+    nside, npix = 1 << order, 12 << 2 * order
+    last = nside * 4 - 1
+    out = df.select(key, F.col(theta).alias("_theta"), F.col(phi).alias("_phi"))
+    th, ph = F.col("_theta"), F.col("_phi")
+
+    def direction():
+        return let(rec(z=F.cos(th), s=F.sin(th)), lambda a: rec(x=a["s"] * F.cos(ph), y=a["s"] * F.sin(ph), z=a["z"]))
+
+    out = staged(out, _q=direction)
+    q = Rec({k: F.col(f"_q_{k}") for k in "xyz"})
+
+    def column(ring):
+        """The pixel of a ring at or west of the direction; may be one off the ring's start."""
+        return S.ifloor(ph / (2.0 * S.PI) * S.ring_pixels(ring, order) - S.ring_shift(ring, order) * 0.5)
+
+    def point(ring, at):
+        return S._vector(ring, F.pmod(at, S.ring_pixels(ring, order)), order)
+
+    def strip():
+        """Lower ring of the strip; 1 within the first ring, last + 1 beyond the last."""
+        def side(r):
+            ends = let(rec(ring=r, at=column(r)), lambda w: Rec(
+                {f"{n}{k}": v for n, p in (("b", point(w["ring"], w["at"])), ("c", point(w["ring"], w["at"] + 1))) for k, v in p.items()}))
+            b, c = ({k: ends[f"{n}{k}"] for k in "xyz"} for n in "bc")
+            return r + F.when(_triple(b, c, q) >= 0, 0).otherwise(1)
+
+        near = S.ring_above(q["z"], order) + F.when(q["z"] >= 0, 1).otherwise(0)
+        return let(F.least(F.greatest(near, S._long(1)), S._long(last)), side)
+
+    out = staged(out, _low=strip)
+    ring = F.least(F.greatest(F.col("_low"), S._long(2)), S._long(last))
+
+    def places():
+        def apexes(w):
+            def apex(at):
+                per_quarter = S._div(w["size"], 4)
+                c = F.pmod(at, w["size"])
+                # not wrapped, so that fans are counted from one apex to the next
+                return G._apex(S._div(c, per_quarter), c % per_quarter, w["ring"], order) + F.floor(at / w["size"]).cast("long") * w["above"]
+
+            return rec(**w, a0=apex(w["at"] - 1), a1=apex(w["at"]), a2=apex(w["at"] + 1))
+
+        return let(rec(ring=ring, at=column(ring), size=S.ring_pixels(ring, order), start=S.ring_start(ring, order),
+                       above=S.ring_pixels(ring - 1, order), start_above=S.ring_start(ring - 1, order)), apexes)
+
+    out = staged(out, _w=places)
+    w = {k: F.col(f"_w_{k}") for k in ("ring", "at", "size", "start", "above", "start_above", "a0", "a1", "a2")}
+    low = lambda k: w["start"] + F.pmod(w["at"] + k, w["size"])
+    high = lambda a: w["start_above"] + F.pmod(a, w["above"])
+
+    def corners():
+        up = lambda a: point(w["ring"] - 1, a)
+        named = {"b": point(w["ring"], w["at"]), "c": point(w["ring"], w["at"] + 1), "u": up(w["a1"] - 1), "v": up(w["a1"]), "x": up(w["a1"] + 1)}
+        flat = let(Rec({f"{n}{k}": p[k] for n, p in named.items() for k in "xyz"}), lambda v: v)
+        b, c, u, v, x = ({k: flat[f"{n}{k}"] for k in "xyz"} for n in "bcuvx")
+        # east of a line from the lower ring up to the higher one
+        east = lambda lower, upper: _triple(lower, upper, q) <= 0
+        tests = let(rec(bu=east(b, u), bv=east(b, v), cv=east(c, v), cx=east(c, x), fan_b=w["a1"] - w["a0"], fan_c=w["a2"] - w["a1"]), lambda t: t)
+        pole = {1: ((0, 2, 3), (2, 0, 1)), last + 1: ((npix - 1, npix - 3, npix - 4), (npix - 3, npix - 2, npix - 1))}
+
+        def lid(at):
+            """The diagonal parts the four pixels around a pole."""
+            first, second = pole[at]
+            one, two = (S._vector(S._long(min(at, last)), S._long(p if at == 1 else p - npix + 4), order) for p in (second[1 if at == 1 else 2], second[0]))
+            inside = (_triple(one, two, q) >= 0) if at == 1 else (_triple(two, one, q) <= 0)
+            pick = lambda t: F.array(*(S._long(p) for p in t))
+            return F.when(inside, pick(first)).otherwise(pick(second))
+
+        tri = lambda *p: F.array(*p)
+        a = w["a1"]
+        return (
+            F.when(F.col("_low") == 1, lid(1)).when(F.col("_low") == last + 1, lid(last + 1))
+            .when(~tests["bv"] & (tests["fan_b"] > 1) & ~tests["bu"], tri(low(0), high(a - 1), high(a - 2)))
+            .when(~tests["bv"] & (tests["fan_b"] > 0), tri(low(0), high(a), high(a - 1)))
+            .when(~tests["cv"], tri(low(0), low(1), high(a)))
+            .when((tests["fan_c"] > 0) & ~tests["cx"], tri(low(1), high(a + 1), high(a)))
+            .when(tests["fan_c"] > 1, tri(low(1), high(a + 2), high(a + 1)))
+            .otherwise(tri(low(1), low(2), high(w["a2"]))))
+
+    out = staged(out.drop("_theta"), pix=corners)
+
+    def weights():
+        ends = [S.let(S._ring2ang(F.get("pix", F.lit(k)), order), lambda d: let(rec(z=F.cos(d["theta"]), s=F.sin(d["theta"]), p=d["phi"]), lambda d: rec(
+            x=d["s"] * F.cos(d["p"]), y=d["s"] * F.sin(d["p"]), z=d["z"]))) for k in range(3)]
+
+        def shares(v):
+            a, b, c = ({k: v[f"{n}{k}"] for k in "xyz"} for n in "abc")
+            parts = rec(whole=_triple(a, b, c), a=_triple(b, c, q), b=_triple(c, a, q), c=_triple(a, b, q), na=_dot(a, q), nb=_dot(b, q), nc=_dot(c, q))
+
+            def tidy(p):
+                # barycentric in the gnomonic plane around the direction, times the cosine of the corner's distance
+                share = let(Rec({n: p[n] * p[f"n{n}"] / F.when(p["whole"] != 0, p["whole"]) for n in "abc"}), lambda s: s)
+                return F.array(*(F.when(F.abs(share[n]) < 1e-15, 0.0).otherwise(share[n]) * p[f"n{n}"] for n in "abc"))
+
+            return let(parts, tidy)
+
+        return let(Rec({f"{n}{k}": e[k] for n, e in zip("abc", ends) for k in "xyz"}), shares)
+
+    return staged(out, wgt=weights).select(key, "pix", "wgt")
 
 
 def sky_file_overlap(files: DataFrame, buffer: float, shell: float = SHELL) -> DataFrame:
@@ -57,30 +210,30 @@ def sky_file_overlap(files: DataFrame, buffer: float, shell: float = SHELL) -> D
     and a nested pixel. Two points at most ``buffer`` apart in shells no nearer
     than r are at an angle of at most asin(buffer / r), so the pixels to look
     at are those in a disc of that angle around the file's own pixel. The
-    pixel lists meet in an equi-join on (order, pixel, shell).
+    discs are runs of pixels, one a ring, and meet the files' pixels on (shell, order, ring).
     """
     around = int(max(1.0, -(-buffer // shell)))
-    orders = F.array_sort(F.collect_set("forder"))
-    # One value per resolution in use, at most 30.
-    used = files.agg(orders.alias("o")).first()["o"]
-    me = files.select(
-        "fnum", "rbin",
-        S.nest2ang(F.col("hpix"), F.col("forder").cast("int")).alias("_c"),
-        (F.lit(1.362 * S.PI / 4) / S.order2nside(F.col("forder").cast("int"))).alias("_own"),
-    )
-    look = me.withColumn(
-        "n_rbin", F.explode(F.sequence(F.col("rbin") - around, F.col("rbin") + around))
-    ).withColumn("n_order", F.explode(F.array(*[F.lit(int(o)) for o in used])))
-    # Only the further of the two shells bounds the angle.
-    nearest = F.greatest(F.col("rbin"), F.col("n_rbin")) * F.lit(float(shell))
-    angle = F.when(nearest > buffer, F.asin(F.lit(float(buffer)) / nearest)).otherwise(S.PI)
-    hits = disc_rows(
-        look.withColumn("_r", F.least(F.col("_own") + angle, F.lit(S.PI))),
-        F.col("_c.theta"), F.col("_c.phi"), F.col("_r"), F.col("n_order"), "n_pix",
-    )
-    other = files.select(
-        F.col("fnum").alias("nbr_fnum"), F.col("rbin").cast("int").alias("n_rbin"),
-        F.col("hpix").alias("n_pix"), F.col("forder").cast("int").alias("n_order"),
-    )
-    pairs = hits.join(other, ["n_rbin", "n_order", "n_pix"]).select("fnum", "nbr_fnum")
-    return pairs.unionByName(files.select("fnum", F.col("fnum").alias("nbr_fnum"))).distinct()
+    files = stage_table(files.select("fnum", F.col("rbin").cast("int").alias("rbin"), "hpix", F.col("forder").cast("int").alias("forder")), "files")
+    # One value per resolution in use, at most 30; pixel functions are cheapest for a known one.
+    used = sorted(r["forder"] for r in files.select("forder").distinct().collect() if r["forder"] is not None)
+    runs, others = [], []
+    for own in used:
+        me = staged(files.where(F.col("forder") == own), _c=lambda own=own: S._nest2ang(F.col("hpix"), own))
+        look = me.withColumn("n_rbin", F.explode(F.sequence(F.col("rbin") - around, F.col("rbin") + around)))
+        # Only the further of the two shells bounds the angle.
+        nearest = F.greatest(F.col("rbin"), F.col("n_rbin")) * F.lit(float(shell))
+        angle = F.when(nearest > buffer, F.asin(F.lit(float(buffer)) / nearest)).otherwise(S.PI)
+        look = look.withColumn("_r", F.least(F.lit(1.362 * S.PI / 4 / (1 << own)) + angle, F.lit(S.PI)))
+        for order in used:
+            run = disc_runs(look, F.col("_c_theta"), F.col("_c_phi"), F.col("_r"), order)
+            runs.append(run.select("fnum", "n_rbin", F.lit(order).alias("n_order"), "ring", "first", "count", "ring_size"))
+        other = staged(files.where(F.col("forder") == own), _at=lambda own=own: S._ring_and_column(S._nest2xyf(F.col("hpix"), own), own))
+        others.append(other.select(F.col("fnum").alias("nbr_fnum"), F.col("rbin").alias("n_rbin"), F.lit(own).alias("n_order"),
+                                   F.col("_at_ring").alias("ring"), F.col("_at_column").alias("column")))
+    itself = files.select("fnum", F.col("fnum").alias("nbr_fnum"))
+    if not used:
+        return itself
+    # runs of pixels and the files' pixels meet ring by ring
+    within = F.pmod(F.col("column") - F.col("first"), F.col("ring_size")) < F.col("count")
+    pairs = reduce(DataFrame.unionByName, runs).join(reduce(DataFrame.unionByName, others), ["n_rbin", "n_order", "ring"]).where(within)
+    return pairs.select("fnum", "nbr_fnum").unionByName(itself).distinct()

@@ -2,13 +2,15 @@
 
 Distances come from joining everything with everything, boxes and pixels from
 the defining formulas, so each statement is independent of how the Spark query
-is planned. Queries whose check would need an iterative algorithm have none.
+is planned. Curve keys are walked level by level with the same fixed values as the engine's.
 """
 
 from __future__ import annotations
 
 import math
 
+from ..functions import curve, sky
+
 N, NDIV, BUFFER, ORDER = 8, 3, 0.05, 6
 PI = math.pi
 
@@ -275,6 +277,88 @@ def moments(src, order):
  round(tt / (tt * pp - tp * tp), 7) AS m11 FROM ({src}) JOIN m USING (pix)"""
 
 
+def zipped(order):
+    """(pix, v0, v1, v2): triangles between adjacent rings, from the longitudes of their centres, and the lids."""
+    last = (12 << 2 * order) - 1
+    wrap = lambda v: f"(a_start + (({v}) % a_size + a_size) % a_size)"
+    return f"""SELECT pix, CAST(v0 AS BIGINT) AS v0, CAST(v1 AS BIGINT) AS v1, CAST(v2 AS BIGINT) AS v2 FROM (
+ WITH c AS (SELECT jr, ring_pix, cphi FROM ({all_pixels(order)})),
+ r AS (SELECT jr, min(ring_pix) AS start, count(*) AS size, min(cphi) AS west FROM c GROUP BY jr),
+ e AS (SELECT c.ring_pix, r.start, r.size, a.start AS a_start, a.size AS a_size,
+ CAST(ceil((c.cphi + pi() / r.size - a.west) * a.size / (2 * pi()) - 0.5 - 1e-7) AS BIGINT) AS leaving,
+ CAST(ceil((c.cphi - pi() / r.size - a.west) * a.size / (2 * pi()) - 0.5 - 1e-7) AS BIGINT) AS reaching
+ FROM c JOIN r ON c.jr = r.jr JOIN r a ON a.jr = c.jr - 1)
+ SELECT ring_pix AS pix, ring_pix AS v0, start + (ring_pix - start + 1) % size AS v1, {wrap('leaving')} AS v2 FROM e
+ UNION ALL SELECT ring_pix, ring_pix, {wrap('leaving - k')}, {wrap('leaving - k - 1')} FROM e, unnest(range(4)) AS q(k) WHERE k < leaving - reaching
+ UNION ALL VALUES (0, 0, 2, 3), (2, 2, 0, 1), ({last}, {last}, {last - 2}, {last - 3}), ({last - 2}, {last - 2}, {last - 1}, {last}))"""
+
+
+def dot3(a, b):
+    return f"({a}[1] * {b}[1] + {a}[2] * {b}[2] + {a}[3] * {b}[3])"
+
+
+def cross3(a, b):
+    part = lambda i, j: f"{a}[{i}] * {b}[{j}] - {a}[{j}] * {b}[{i}]"
+    return f"[{part(2, 3)}, {part(3, 1)}, {part(1, 2)}]"
+
+
+def held_by_triangle(src, order):
+    """(id, pix0.., wgt0..): all triangles tried on all directions (theta, phi)."""
+    return f"""WITH c AS (SELECT ring_pix, [sin(ctheta) * cos(cphi), sin(ctheta) * sin(cphi), cz] AS v FROM ({all_pixels(order)})),
+ t AS (SELECT v0, v1, v2, a.v AS a, b.v AS b, c.v AS c FROM ({zipped(order)}) JOIN c a ON a.ring_pix = v0 JOIN c b ON b.ring_pix = v1
+ JOIN c ON c.ring_pix = v2),
+ n AS (SELECT *, {cross3('b', 'c')} AS na, {cross3('c', 'a')} AS nb, {cross3('a', 'b')} AS nc FROM t),
+ w AS (SELECT *, {dot3('a', 'na')} AS whole FROM n),
+ d AS (SELECT id, [sin(theta) * cos(phi), sin(theta) * sin(phi), cos(theta)] AS q FROM ({src})),
+ s AS (SELECT d.id, v0, v1, v2, {dot3('q', 'a')} AS ca, {dot3('q', 'b')} AS cb, {dot3('q', 'c')} AS cc,
+ {dot3('q', 'na')} / whole AS sa, {dot3('q', 'nb')} / whole AS sb, {dot3('q', 'nc')} / whole AS sc FROM d, w)
+ SELECT id, v0 AS pix0, v1 AS pix1, v2 AS pix2, round(sa * ca * ca, 9) AS wgt0, round(sb * cb * cb, 9) AS wgt1, round(sc * cc * cc, 9) AS wgt2
+ FROM s WHERE ca > 0 AND cb > 0 AND cc > 0 AND sa >= -1e-15 AND sb >= -1e-15 AND sc >= -1e-15
+ QUALIFY row_number() OVER (PARTITION BY id ORDER BY v0, v1, v2) = 1"""
+
+
+def polygon(src, order):
+    """(id, pix, wgt): weights of the four pixels across the edges, from the distances of the polygon's sides."""
+    return f"""WITH c AS (SELECT pix, ring_pix, [sin(ctheta) * cos(cphi), sin(ctheta) * sin(cphi), cz] AS v FROM ({all_pixels(order)})),
+ d AS (SELECT id, theta, phi, pix FROM ({holding(src, order)})),
+ p AS (SELECT d.id, nb.direction // 2 AS i, c.ring_pix, {dot3('[cos(phi) * cos(theta), sin(phi) * cos(theta), -sin(theta)]', 'v')} AS x,
+ {dot3('[-sin(phi), cos(phi), 0.0]', 'v')} AS y FROM d JOIN ({neighbours(order)}) nb ON nb.pix = d.pix AND nb.direction % 2 = 0 JOIN c ON c.pix = nb.nbr),
+ side AS (SELECT a.id, a.i, (b.y - a.y) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS nx, (a.x - b.x) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS ny,
+ abs(a.x * b.y - a.y * b.x) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS away FROM p a JOIN p b ON a.id = b.id AND b.i = (a.i + 1) % 4),
+ w AS (SELECT p.id, p.ring_pix, abs(s.nx * r.ny - s.ny * r.nx) / (s.away * r.away) AS w
+ FROM p JOIN side s ON s.id = p.id AND s.i = p.i JOIN side r ON r.id = p.id AND r.i = (p.i + 3) % 4)
+ SELECT id, CAST(ring_pix AS BIGINT) AS pix, round(w / sum(w) OVER (PARTITION BY id), 9) AS wgt FROM w"""
+
+
+def peano(src, by=""):
+    """Adds ph_key: at every level the octant's place on the base path, then the cell itself is turned."""
+    over = f"OVER (PARTITION BY {by})" if by else "OVER ()"
+    cell = lambda x: f"""(CASE WHEN max({x}) {over} > min({x}) {over} THEN least(32767, CAST(floor(CAST({x} - min({x}) {over} AS DOUBLE)
+ / (CAST(max({x}) {over} - min({x}) {over} AS DOUBLE) / 32768)) AS BIGINT)) ELSE 0 END)"""
+    places = [curve.BASE_PATH[o] for o in curve.OCTANTS]
+    bit = lambda v: f"(({v} >> (14 - level)) & 1)"
+    of = lambda values: f"{list(values)}[place + 1]"
+    return f"""WITH RECURSIVE cells AS (SELECT *, {cell('px')} AS x, {cell('py')} AS y, {cell('pz')} AS z FROM ({src})),
+ walk AS (SELECT fnum, row_idx, 0 AS level, x, y, z, 1 AS sense, CAST(0 AS BIGINT) AS ph_key FROM cells UNION ALL
+ SELECT fnum, row_idx, level + 1, CASE ty WHEN 0 THEN x WHEN 1 THEN z1 WHEN 2 THEN 32767 - x ELSE 32767 - z1 END, y1,
+ CASE ty WHEN 0 THEN z1 WHEN 1 THEN 32767 - x WHEN 2 THEN 32767 - z1 ELSE x END, sense * {of(curve.SENSE)},
+ ph_key * 8 + CASE WHEN sense = 1 THEN place ELSE 7 - place END FROM (
+ SELECT *, {of(curve.TURNS_Y)} AS ty, CASE {of(curve.TURNS_X)} WHEN 0 THEN y WHEN 1 THEN 32767 - z WHEN 2 THEN 32767 - y ELSE z END AS y1,
+ CASE {of(curve.TURNS_X)} WHEN 0 THEN z WHEN 1 THEN y WHEN 2 THEN 32767 - z ELSE 32767 - y END AS z1 FROM (
+ SELECT *, {places}[4 * {bit('x')} + 2 * {bit('y')} + {bit('z')} + 1] AS place FROM walk WHERE level < 15)))
+ SELECT c.fnum, c.row_idx, c.px, c.py, c.pz, w.ph_key FROM cells c JOIN walk w USING (fnum, row_idx) WHERE level = 15"""
+
+
+def sphere_path(src, order):
+    """Adds key: two bits a level along the path over the faces."""
+    flat = lambda rows: [v for row in rows for v in row]
+    return f"""WITH RECURSIVE p AS ({src}), walk AS (
+ SELECT id, pix, {order} AS level, {list(sky.FACE_STATE)}[(pix >> {2 * order}) + 1] AS state, CAST({list(sky.FACE_PLACE)}[(pix >> {2 * order}) + 1] AS BIGINT) AS key FROM p
+ UNION ALL SELECT id, pix, level - 1, {flat(sky.TO_STATE)}[state * 4 + quad + 1], key * 4 + {flat(sky.TO_PATH)}[state * 4 + quad + 1]
+ FROM (SELECT *, (pix >> (2 * (level - 1))) & 3 AS quad FROM walk WHERE level > 0))
+ SELECT id, pix, key FROM walk WHERE level = 0"""
+
+
 def separation(a_t, a_p, b_t, b_p):
     return f"""acos(greatest(-1.0, least(1.0, cos({a_t}) * cos({b_t}) + sin({a_t}) * sin({b_t}) * cos({a_p} - {b_p}))))"""
 
@@ -380,7 +464,12 @@ ORACLES = {
  FROM ({pixels()}) p JOIN rings r ON p.pix >= r.startpix AND p.pix < r.startpix + r.ringpix""",
     "hp_ring_above": f"""WITH rings AS (SELECT DISTINCT jr, cz FROM ({all_pixels(ORDER)}))
  SELECT s.id, CAST(count(r.jr) AS BIGINT) AS ring FROM ({SKY}) s LEFT JOIN rings r ON r.cz >= s.z GROUP BY s.id""",
-    "hp_peano_roundtrip": f"SELECT id, pix, pix AS back FROM ({pixels()})",
+    "hp_peano_roundtrip": f"SELECT id, pix, key, pix AS back FROM ({sphere_path(pixels(), ORDER)})",
+    "hp_triangles": f"SELECT id, v0, v1, v2 FROM ({pixels()}) JOIN ({zipped(ORDER)}) USING (pix)",
+    "hp_interp_tri": held_by_triangle(f"SELECT id, theta, phi FROM ({ANGLES})", 4),
+    "hp_interp_poly": polygon(f"SELECT id, theta, phi FROM ({ANGLES})", 4),
+    "ph_key_order": peano(EV),
+    "ph_key_by_file": peano(EV, "fnum"),
     "hp_query_disc": f"""SELECT a.id, c.pix FROM ({ANGLES}) a JOIN ({all_pixels(3)}) c
  ON {separation('a.theta', 'a.phi', 'c.ctheta', 'c.cphi')} <= 0.2 + {FUDGE(3)}""",
     "sky_file_overlap": f"""WITH s AS ({SKY_FILES}), c AS ({all_pixels(2)}),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import curve, geometry as G, sky as S, sky_grid as SG
+from ..functions.stages import spread, staged
 from ..model import BOX_COLS, XYZ
 from ..operators import boxes as B, knn as K, radius as R, sky_ops as SO
 from ..sinks import files as W
@@ -272,18 +273,17 @@ def hp_radec(spark, sf):
 
 
 def hp_ang2ring(spark, sf):
-    return _angles(spark, sf).select("id", S.ang2ring(*c("theta", "phi"), ORDER).alias("pix"))
+    return staged(_angles(spark, sf), pix=lambda: S.ang2ring(*c("theta", "phi"), ORDER)).select("id", "pix")
 
 
 def hp_ang2nest(spark, sf):
-    return V.sky(spark, sf).select(
-        "id", S.vec2nest(*c(*"xyz"), ORDER).alias("pix"), S.vec2ring(*c(*"xyz"), ORDER).alias("ring_pix")
-    )
+    return staged(
+        V.sky(spark, sf), pix=lambda: S.vec2nest(*c(*"xyz"), ORDER), ring_pix=lambda: S.vec2ring(*c(*"xyz"), ORDER)
+    ).select("id", "pix", "ring_pix")
 
 
 def _centre(spark, sf, fn, vec):
-    d = V.pixels(spark, sf, ORDER).withColumn("_a", fn(F.col("pix"), ORDER))
-    d = d.withColumn("_v", vec(F.col("pix"), ORDER))
+    d = staged(V.pixels(spark, sf, ORDER), _a=lambda: fn(F.col("pix"), ORDER), _v=lambda: vec(F.col("pix"), ORDER))
     return d.select(
         "id", F.round("_a.theta", 9).alias("theta"), F.round("_a.phi", 9).alias("phi"),
         F.round(F.col("_v")[2], 9).alias("z"),
@@ -299,16 +299,11 @@ def hp_pix2ang_ring(spark, sf):
 
 
 def hp_nest_ring(spark, sf):
-    d = V.pixels(spark, sf, ORDER).withColumn("ring", S.nest2ring(F.col("pix"), ORDER))
-    d = d.withColumn("_x", S.nest2xyf(F.col("pix"), ORDER)).withColumn(
-        "_r", S.ring2xyf(F.col("ring"), ORDER)
-    )
-    return d.select(
-        "id", "pix", "ring", S.ring2nest(F.col("ring"), ORDER).alias("back"),
-        F.col("_x.ix").alias("ix"), F.col("_x.iy").alias("iy"), F.col("_x.face").alias("face"),
-        S.xyf2nest(F.col("_r.ix"), F.col("_r.iy"), F.col("_r.face"), ORDER).alias("nest_again"),
-        S.xyf2ring(F.col("_x.ix"), F.col("_x.iy"), F.col("_x.face"), ORDER).alias("ring_again"),
-    )
+    pix, ring, xyf = F.col("pix"), F.col("ring"), [F.col(f"_x_{k}") for k in ("ix", "iy", "face")]
+    d = staged(V.pixels(spark, sf, ORDER), ring=lambda: S.nest2ring(pix, ORDER), _x=lambda: S._nest2xyf(pix, ORDER))
+    d = staged(d, _r=lambda: S._ring2xyf(ring, ORDER), back=lambda: S.ring2nest(ring, ORDER), ring_again=lambda: S.xyf2ring(*xyf, ORDER))
+    d = staged(d, nest_again=lambda: S.xyf2nest(*(F.col(f"_r_{k}") for k in ("ix", "iy", "face")), ORDER))
+    return d.select("id", "pix", "ring", "back", *(x.alias(k) for x, k in zip(xyf, ("ix", "iy", "face"))), "nest_again", "ring_again")
 
 
 def hp_parent_children(spark, sf):
@@ -330,8 +325,8 @@ def hp_grid_sizes(spark, sf):
 
 
 def hp_ring_info(spark, sf):
-    d = V.pixels(spark, sf, ORDER).withColumn("ring", S.ring_number(F.col("pix"), ORDER))
-    d = d.withColumn("_i", S.ring_info(F.col("ring"), ORDER))
+    d = staged(V.pixels(spark, sf, ORDER), ring=lambda: S.ring_number(F.col("pix"), ORDER))
+    d = staged(d, _i=lambda: S.ring_info(F.col("ring"), ORDER))
     return d.select(
         "id", "ring", F.col("_i.startpix").alias("startpix"), F.col("_i.ringpix").alias("ringpix"),
         F.round("_i.costheta", 9).alias("costheta"), F.round("_i.sintheta", 9).alias("sintheta"),
@@ -345,7 +340,7 @@ def hp_ring_above(spark, sf):
 
 def hp_peano_roundtrip(spark, sf):
     d = V.pixels(spark, sf, ORDER).withColumn("key", S.nest2peano(F.col("pix"), ORDER))
-    return d.select("id", "pix", S.peano2nest(F.col("key"), ORDER).alias("back"))
+    return d.select("id", "pix", "key", S.peano2nest(F.col("key"), ORDER).alias("back"))
 
 
 def hp_neighbors(spark, sf):
@@ -354,10 +349,9 @@ def hp_neighbors(spark, sf):
 
 
 def hp_neighbors_ring(spark, sf):
-    ring = S.nest2ring(F.col("pix"), ORDER)
-    d = V.pixels(spark, sf, ORDER).withColumn("ring", ring)
-    d = SO.neighbor_rows(d, F.col("ring"), ORDER, "ring")
-    return d.select("id", F.col("direction").cast("bigint").alias("direction"), S.ring2nest(F.col("nbr"), ORDER).alias("nbr"))
+    d = staged(V.pixels(spark, sf, ORDER), ring=lambda: S.nest2ring(F.col("pix"), ORDER))
+    d = staged(SO.neighbor_rows(d, F.col("ring"), ORDER, "ring"), nbr=lambda: S.ring2nest(F.col("nbr"), ORDER))
+    return d.select("id", F.col("direction").cast("bigint").alias("direction"), "nbr")
 
 
 def hp_query_disc(spark, sf):
@@ -365,12 +359,12 @@ def hp_query_disc(spark, sf):
 
 
 def hp_interpol(spark, sf):
-    d = _angles(spark, sf).select("id", F.explode(SG.interpol4(*c("theta", "phi"), ORDER)).alias("_w"))
+    d = staged(_angles(spark, sf), _w=lambda: SG.interpol4(*c("theta", "phi"), ORDER)).select("id", spread(F.col("_w")).alias("_w"))
     return d.select("id", F.col("_w.pix").alias("pix"), F.round("_w.wgt", 9).alias("wgt"))
 
 
 def hp_triangles(spark, sf):
-    d = V.pixels(spark, sf, ORDER).select("id", F.explode(SG.triangles(F.col("pix"), ORDER)).alias("_t"))
+    d = staged(V.pixels(spark, sf, ORDER), _t=lambda: SG.triangles(F.col("pix"), ORDER)).select("id", spread(F.col("_t")).alias("_t"))
     return d.select("id", *[F.col("_t")[i].alias(f"v{i}") for i in range(3)])
 
 
@@ -383,12 +377,12 @@ def hp_interp_tri(spark, sf):
 
 
 def hp_interp_poly(spark, sf):
-    d = _angles(spark, sf).select("id", F.explode(SG.interp_polygon(*c("theta", "phi"), 4)).alias("_w"))
+    d = staged(_angles(spark, sf), _w=lambda: SG.interp_polygon(*c("theta", "phi"), 4)).select("id", spread(F.col("_w")).alias("_w"))
     return d.select("id", F.col("_w.pix").alias("pix"), F.round("_w.wgt", 9).alias("wgt"))
 
 
 def hp_finitediff(spark, sf):
-    d = V.pixels(spark, sf, 3).withColumn("_f", SG.finite_difference(F.col("pix"), 3))
+    d = staged(V.pixels(spark, sf, 3), _f=lambda: SG.finite_difference(F.col("pix"), 3))
     m = F.col("_f.minv")
     return d.select(
         "id", F.round(m[0][0], 7).alias("m00"), F.round(m[0][1] + 0.0, 7).alias("m01"),
@@ -403,7 +397,10 @@ def sky_file_overlap(spark, sf):
             F.col("label").cast("int").alias("rbin"),
             *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("xyz")],
         )
-        .select("rbin", S.vec2nest(*c(*"xyz"), 2).alias("hpix"))
+    )
+    files = (
+        staged(files, hpix=lambda: S.vec2nest(*c(*"xyz"), 2))
+        .select("rbin", "hpix")
         .distinct()
         .select(
             (F.col("rbin") * 192 + F.col("hpix")).cast("int").alias("fnum"), "rbin", "hpix",
