@@ -158,6 +158,21 @@ def buffered_read(points: DataFrame, boxes: DataFrame, buffer: float, length=Non
     return own.unionByName(near)
 
 
+def slices_near(slices: DataFrame, spots: DataFrame, buffer: float, length=None) -> DataFrame:
+    """The slices of a snapshot index that can hold a point within ``buffer`` of a spot.
+
+    Slices meet spots by their grown boxes; slices without corners stay.
+    """
+    slices = stage_table(slices, "slices")
+    known = slices.where(F.col("xmin").isNotNull()).select("fnum", "first", *BOX_COLS)
+    pieces = _prefixed(buffered_pieces(known, buffer, length), "a_", ["fnum", "first", *BOX_COLS])
+    a, lo, hi = [f"a_{c}" for c in BOX_COLS], *extent_of((known, BOX_COLS))
+    met = overlap_join(spots.select(*XYZ), pieces, [*XYZ, *XYZ], a, lo, hi)
+    met = met.select(F.col("a_fnum").alias("fnum"), F.col("a_first").alias("first")).distinct()
+    kept = slices.where(F.col("xmin").isNotNull()).join(met, ["fnum", "first"], "left_semi")
+    return kept.unionByName(slices.where(F.col("xmin").isNull()))
+
+
 def assign_boxes(halos: DataFrame, boxes: DataFrame, salts: int = 4) -> DataFrame:
     """The box each catalogue entry belongs to.
 

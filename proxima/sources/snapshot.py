@@ -2,15 +2,23 @@
 
 ``spark.read.format("snapshot").option("dialect", "LGADGET").load(list_file)``
 gives (fnum, row_idx, px, py, pz). ``list_file`` names one snapshot per line;
-its line number is ``fnum``. Headers are read while the scan is planned; each
-partition then reads one byte range of positions and nothing else, so a large
-file is shared by many tasks. More layouts can be added to ``DIALECTS``.
+its line number is ``fnum``. Tasks read the headers and write a table of slices, byte
+ranges of positions; each partition of the scan then reads one slice and
+nothing else, so a large file is shared by many tasks. More layouts can be
+added to ``DIALECTS``.
+
+Files are not opened in vain. ``index_snapshot`` adds the corners of every slice, kept as
+Parquet. ``read_points`` takes files and ranges of positions and drops slices
+before the scan is planned; ``slices_near`` and ``slices_of`` prune the table of slices
+by a join, for jobs that know what they need. (The Python data source's own filter
+push-down is not used: Spark 4.1 keeps pushed filters with the table, and another query on
+the same DataFrame would be answered from the wrong slices.)
 """
 
 from __future__ import annotations
 
+import re
 import sys
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +27,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..model import POINTS
-from ..session import ship
+from ..model import BOX_COLS, POINTS, XYZ
+from ..session import ship, stage_table
 
 ROWS_PER_PARTITION = 4_000_000
 BATCH = 262_144
@@ -132,22 +140,23 @@ class Slice(InputPartition):
         self.rows, self.offset, self.wrap = rows, offset, wrap
 
 
+def _read_table(path: str):
+    """A Parquet folder of the shared storage."""
+    import pyarrow.dataset as ds
+
+    system, inner = (fs.FileSystem.from_uri(path) if re.match(r"(?!file:)\w+://", path)
+                     else (fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)))
+    return ds.dataset(inner, filesystem=system, format="parquet").to_table()
+
+
 class SnapshotReader(DataSourceReader):
     def __init__(self, options):
-        self.dialect = options.get("dialect", "LGADGET")
-        self.list_file = options["path"]
-        self.step = int(options.get("rowsPerPartition", ROWS_PER_PARTITION))
+        self.slices = options["slices"]
 
     def partitions(self):
-        paths = snapshot_paths(self.list_file)
-        with ThreadPoolExecutor(16) as pool:
-            infos = list(pool.map(lambda p: file_info(p, self.dialect), paths))
-        return [
-            Slice(i, path, first, min(self.step, info.rows - first),
-                  info.offset + 12 * first, info.wrap)
-            for i, (path, info) in enumerate(zip(paths, infos))
-            for first in range(0, info.rows, self.step)
-        ] or [Slice(0, "", 0, 0, 0, 0.0)]
+        rows = _read_table(self.slices).select(["fnum", "path", "first", "rows", "offset", "wrap"]).to_pylist()
+        rows.sort(key=lambda r: (r["fnum"], r["first"]))
+        return [Slice(**r) for r in rows if r["rows"]] or [Slice(0, "", 0, 0, 0, 0.0)]
 
     def read(self, part):
         done = 0
@@ -184,15 +193,85 @@ class SnapshotSource(DataSource):
 ship(sys.modules[__name__])
 
 
-def read_snapshot(spark: SparkSession, list_file: str, dialect: str,
-                  rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+_SLICES = "fnum int, path string, first bigint, rows bigint, offset bigint, wrap double"
+
+
+def listed_files(spark: SparkSession, list_file: str) -> DataFrame:
+    """(fnum, path) of a snapshot list; nothing is opened but the list."""
+    return spark.createDataFrame(list(enumerate(snapshot_paths(list_file))), "fnum int, path string")
+
+
+def snapshot_slices(files: DataFrame, dialect: str, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """The slices of ``files(fnum, path)``, corners NULL. Headers are read by tasks."""
     if dialect not in DIALECTS:
         raise ValueError(f"unknown simulation type {dialect!r}; known: {sorted(DIALECTS)}")
+
+    def heads(batches):
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            infos = [file_info(p, dialect) for p in paths]
+            rows = [(f, p, first, min(rows_per_partition, i.rows - first), i.offset + 12 * first, i.wrap)
+                    for f, p, i in zip(batch.column("fnum").to_pylist(), paths, infos) for first in range(0, i.rows, rows_per_partition)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
+                names=["fnum", "path", "first", "rows", "offset", "wrap"])
+
+    none = {c: F.lit(None).cast("float") for c in BOX_COLS}
+    return files.select("fnum", "path").mapInArrow(heads, _SLICES).withColumns(none)
+
+
+def read_slices(spark: SparkSession, slices: DataFrame | str) -> DataFrame:
+    """The points of a table of slices, or of the Parquet folder that holds one."""
+    if not isinstance(slices, str):
+        slices = stage_table(slices, "slices").inputFiles()
+        slices = slices[0].rsplit("/", 1)[0] if slices else ""
+    if not slices:
+        return spark.createDataFrame([], POINTS)
     spark.dataSource.register(SnapshotSource)
-    return (
-        spark.read.format("snapshot").option("dialect", dialect)
-        .option("rowsPerPartition", rows_per_partition).load(list_file)
-    )
+    return spark.read.format("snapshot").option("slices", slices).load()
+
+
+def read_snapshot(spark: SparkSession, list_file: str, dialect: str,
+                  rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """All points of a snapshot list."""
+    return read_slices(spark, snapshot_slices(listed_files(spark, list_file), dialect, rows_per_partition))
+
+
+def index_snapshot(spark: SparkSession, list_file: str, dialect: str, path: str,
+                   rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Write the slices with their corners to ``path``; for ``read_slices`` and the pruning joins.
+
+    One pass over the points, aggregated where they are read; one row a slice is shuffled.
+    """
+    slices = stage_table(snapshot_slices(listed_files(spark, list_file), dialect, rows_per_partition), "slices")
+    at = F.col("row_idx") - F.col("row_idx") % rows_per_partition
+    corners = read_slices(spark, slices).groupBy("fnum", at.alias("first")).agg(
+        *(F.min(c).alias(n) for c, n in zip(XYZ, BOX_COLS[:3])), *(F.max(c).alias(n) for c, n in zip(XYZ, BOX_COLS[3:])))
+    slices.drop(*BOX_COLS).join(corners, ["fnum", "first"]).select(*slices.columns).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_points(spark: SparkSession, index: str | DataFrame, files=None, low=(None, None, None), high=(None, None, None)) -> DataFrame:
+    """The points of some files (``files``: numbers) with ``low <= position <= high`` on every axis; None is no bound.
+
+    Slices of other files, or that lie outside altogether, are not opened.
+    """
+    slices = spark.read.parquet(index) if isinstance(index, str) else index
+    wanted = F.lit(True) if files is None else F.col("fnum").isin([int(f) for f in files])
+    may, does = wanted, wanted
+    for axis, small, large, lo, hi in zip(XYZ, BOX_COLS[:3], BOX_COLS[3:], low, high):
+        if lo is not None:
+            bound = F.lit(float(lo)).cast("float")
+            may, does = may & (F.col(large).isNull() | (F.col(large) >= bound)), does & (F.col(axis) >= bound)
+        if hi is not None:
+            bound = F.lit(float(hi)).cast("float")
+            may, does = may & (F.col(small).isNull() | (F.col(small) <= bound)), does & (F.col(axis) <= bound)
+    return read_slices(spark, slices.where(may)).where(does)
+
+
+def slices_of(slices: DataFrame, files: DataFrame) -> DataFrame:
+    """The slices of ``files(fnum)``."""
+    return slices.join(files.select("fnum").distinct(), "fnum", "left_semi")
 
 
 def name_tokens(path):
@@ -211,8 +290,11 @@ def snapshot_files(spark: SparkSession, list_file: str, dialect: str) -> DataFra
 
     Headers are read by tasks, a few bytes per file.
     """
-    paths = list(enumerate(snapshot_paths(list_file)))
-    df = spark.createDataFrame(paths, "fnum int, path string")
+    return file_table(listed_files(spark, list_file), dialect)
+
+
+def file_table(df: DataFrame, dialect: str) -> DataFrame:
+    """``snapshot_files`` of ``df(fnum, path)``."""
     out = "fnum int, path string, n_parts bigint, box_size float, forder int"
 
     def heads(batches):
