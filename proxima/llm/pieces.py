@@ -70,6 +70,47 @@ def load_model(path: str = MODEL) -> tuple:
     return spelled, plain, of_byte, fallback
 
 
+class _Step:
+    """A piece of a path that is built from its end, with the piece behind it.
+
+    Paths of one score go by their ids from the end. Two steps are compared by
+    jumping back to where their paths part, in logarithmic time.
+    """
+
+    __slots__ = ("parent", "jump", "depth", "id", "at", "done")
+
+    def __init__(self, parent: _Step | None, id_: int, at: int, done: float):
+        self.parent, self.id, self.at, self.done = parent, id_, at, done
+        if parent is None:
+            self.depth, self.jump = 0, self
+        else:
+            self.depth, over = parent.depth + 1, parent.jump
+            self.jump = over.jump if parent.depth - over.depth == over.depth - over.jump.depth else parent
+
+    def behind(self, depth: int) -> _Step:
+        step = self
+        while step.depth > depth:
+            step = step.jump if step.jump.depth >= depth else step.parent
+        return step
+
+    def __lt__(self, other: _Step) -> bool:
+        depth = min(self.depth, other.depth)
+        a, b = self.behind(depth), other.behind(depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.parent is not b.parent:
+            a, b = (a.parent, b.parent) if a.jump is b.jump else (a.jump, b.jump)
+        return a.id < b.id
+
+    def path(self) -> list[tuple[int, int]]:
+        """(start, id) of each piece, in order of the text."""
+        out, step = [], self
+        while step.parent is not None:
+            out.append((step.at, step.id))
+            step = step.parent
+        return out
+
+
 class Pieces:
     """Encoder and decoder over the values of ``load_model``."""
 
@@ -176,16 +217,29 @@ class Pieces:
         best = [0.0]
         for end in range(1, len(segment) + 1):
             best.append(max(best[start] + score for start, _, score in into(end)))
-        # (- score of the whole path, ids from the end, start, score so far, starts from the end)
-        agenda = [(-best[-1], (), len(segment), 0.0, ())]
+        def onward(step: _Step) -> list[tuple[float, int, int, float]]:
+            """Pieces before a step, best first: (- score of the whole path, id, start, score so far)."""
+            return sorted((-(step.done + score + best[start]), i, start, step.done + score) for start, i, score in into(step.at))
+
+        # a step stands for those after it as well, which follow when it leaves the agenda
+        agenda = [(-best[-1], _Step(None, 0, len(segment), 0.0), 0)]
+        left = array("L", bytes(array("L").itemsize * (len(segment) + 1)))
         out = []
         while agenda and len(out) < n:
-            lost, ids, at, done, starts = heapq.heappop(agenda)
-            if not at:
-                out.append((-lost, self._ids(segment, list(zip(starts, ids))[::-1])))
+            lost, step, rank = heapq.heappop(agenda)
+            if step.parent is not None:
+                others = onward(step.parent)
+                if rank + 1 < len(others):
+                    cost, i, start, done = others[rank + 1]
+                    heapq.heappush(agenda, (cost, _Step(step.parent, i, start, done), rank + 1))
+            if not step.at:
+                out.append((-lost, self._ids(segment, step.path())))
                 continue
-            for start, i, score in into(at):
-                heapq.heappush(agenda, (-(done + score + best[start]), ids + (i,), start, done + score, starts + (start,)))
+            # what goes on from a place n times already can't be among the n best
+            left[step.at] += 1
+            if left[step.at] <= n:
+                cost, i, start, done = onward(step)[0]
+                heapq.heappush(agenda, (cost, _Step(step, i, start, done), 0))
         return out
 
     def ranked(self, text: str, n: int) -> tuple[list[bytes], list[tuple[float, dict[int, bytes]]]]:

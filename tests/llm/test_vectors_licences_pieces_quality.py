@@ -188,6 +188,20 @@ def test_segments_do_not_depend_on_slices(own, monkeypatch):
     assert own.segments(text) == whole
 
 
+@pytest.mark.parametrize("char", ["x", "=", "é"])
+def test_long_runs_take_memory_in_proportion(own, char):
+    import tracemalloc
+
+    peak = []
+    for length in (10_000, 40_000):
+        tracemalloc.start()
+        paths = own.nbest_segment(char * length, 3)
+        peak.append(tracemalloc.get_traced_memory()[1] / length)
+        tracemalloc.stop()
+        assert len(paths) == 3 and paths[0][0] >= paths[1][0] >= paths[2][0]
+    assert peak[1] < 1.5 * peak[0] and peak[1] < 1000  # bytes a character
+
+
 def test_forgetting_changes_nothing(own, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     fresh = pieces.Pieces(*pieces.load_model())
