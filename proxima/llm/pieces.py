@@ -214,12 +214,17 @@ class Pieces:
                 held = get(segment[start:end]) if start >= 0 else None
             return out
 
+        # pieces are looked up again where keeping them for each place would take much memory
+        kept = [[], *map(into, range(1, len(segment) + 1))] if len(segment) <= LONG else None
+        edges = kept.__getitem__ if kept else into
         best = [0.0]
         for end in range(1, len(segment) + 1):
-            best.append(max(best[start] + score for start, _, score in into(end)))
+            best.append(max([best[start] + score for start, _, score in edges(end)]))
+
         def onward(step: _Step) -> list[tuple[float, int, int, float]]:
             """Pieces before a step, best first: (- score of the whole path, id, start, score so far)."""
-            return sorted((-(step.done + score + best[start]), i, start, step.done + score) for start, i, score in into(step.at))
+            done = step.done
+            return sorted([(-(done + score + best[start]), i, start, done + score) for start, i, score in edges(step.at)])
 
         # a step stands for those after it as well, which follow when it leaves the agenda
         agenda = [(-best[-1], _Step(None, 0, len(segment), 0.0), 0)]

@@ -5,9 +5,12 @@ numbers in whole texts, with code-point offsets. They are the seeds: the words
 around a seed are lexical patterns, and the same patterns stand around other
 tokens that look like an identifier but that no base pattern takes. Patterns and
 the instances they surround form a bipartite graph for each kind. Spark scores
-it in rounds: a pattern by the share of its instances that are seeds or believed,
-an instance by the confident patterns it stands in. Instances that end up
-believed are marked wherever they occur.
+it in rounds: a pattern by the documents in which it surrounds seeds or believed
+instances, over all documents that can hold it, an instance by the confident patterns it
+stands in. Instances that end up believed are marked wherever they occur.
+
+Limit: an unseen identifier is a single token; of a number written with spaces that no
+base pattern takes, nothing or one part is found.
 
 Offsets: ``split`` gives the stretches between matches and ``regexp_extract_all``
 the matches, so a running sum of lengths, one window over a document's matches,
@@ -41,11 +44,13 @@ BASE = (
 LOOSE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Characters around a match in which its context words are looked for.
 CONTEXT = 48
-ROUNDS = 3
-#: A pattern counts if it stands around so many believed instances, and with this confidence.
+#: At most; the graph is at rest before that unless beliefs form a long chain.
+ROUNDS = 10
+#: A pattern counts if it stands around so many different believed instances, and in this share of the documents that
+#: can hold it. Numbers that no base pattern takes count against it, so the share asks for about as many seeds as those.
 SUPPORT = 3.0
-CONFIDENCE = 0.6
-BELIEF = 0.75
+CONFIDENCE = 0.4
+BELIEF = 0.4
 
 
 @dataclass(frozen=True)
@@ -155,40 +160,71 @@ def _looks_like(instance: Column) -> Column:
         is_(instance.rlike(r"^[+(]?[0-9][0-9().-]*$") & n.between(7, 15), 3)))
 
 
-def bootstrap(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(believed instances, scored patterns) of ``placed`` spans.
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(word, df): how many documents hold each word, in the form patterns have."""
+    words = F.array_distinct(F.split(F.trim(_word(F.coalesce("text", F.lit("")))), r"\s+"))
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
 
-    Edges are the different (kind, pattern, instance), so a context that a
-    million copies share counts once; sums over a pattern are pre-aggregated.
-    Pattern scores have one row for each pattern, and meet their edges in plain
-    joins that adaptive execution may broadcast or split.
+def _reach(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(kind, pattern, df) of patterns with enough instances; df: documents that hold the rarest of its words.
+
+    No more documents than those can hold the pattern around anything, so what else
+    stands in the same context is counted. Words that CONTEXT cut in two are in no document, and
+    their patterns go.
+    """
+    often = edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+    parts = F.slice(F.split("pattern", " "), F.lit(2), F.size(F.split("pattern", " ")))
+    words = often.select("kind", "pattern", F.explode(F.array_distinct(F.filter(parts, lambda w: w != "_"))).alias("word"))
+    met = words.join(frequencies(docs), "word", "left").groupBy("kind", "pattern").agg(
+        F.min("df").alias("df"), F.max(F.col("df").isNull()).alias("cut"))
+    return met.where(~F.col("cut")).drop("cut")
+
+
+def bootstrap(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(believed instances, scored patterns) of the ``placed`` spans of ``docs``.
+
+    Edges are the different (kind, pattern, instance) with the number of documents that show
+    them. A pattern's confidence is the documents in which it surrounds seeds or
+    believed instances, over those that can hold it at all; so a stop word is no pattern,
+    however often it precedes a number. It needs SUPPORT different instances, and
+    a context that copies repeat is weighed like the copies' words. An instance is believed
+    as much as the best pattern it stands in: the contexts of one occurrence are not
+    independent. Rounds end when no more instances are believed, at ``rounds`` at the latest.
     """
     of_kind = F.when(F.col("base"), F.array("kind")).otherwise(_looks_like(F.col("instance")))
     edges = stage_table(
         spans.where(F.col("kind").isNotNull())
-        .select("base", "instance", "contexts", F.explode(of_kind).alias("kind"))
-        .select("kind", "instance", "base", F.explode("contexts").alias("pattern"))
-        .groupBy("kind", "pattern", "instance").agg(F.max("base").alias("seed")), "edges")
-    belief, patterns = None, None
+        .select("row_id", "base", "instance", "contexts", F.explode(of_kind).alias("kind"))
+        .select("row_id", "kind", "instance", "base", F.explode("contexts").alias("pattern"))
+        .groupBy("kind", "pattern", "instance", "row_id").agg(F.max("base").alias("seed"))
+        .groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("docs")), "edges")
+    edges = stage_table(edges.join(_reach(edges, docs), ["kind", "pattern"]), "edges")
+    believed, patterns, before = None, None, -1
     for _ in range(rounds):
-        known = edges if belief is None else edges.join(belief, ["kind", "instance"], "left")
-        trust = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("belief", F.lit(0.0)) if belief is not None else F.lit(0.0))
+        known = edges if believed is None else edges.join(believed, ["kind", "instance"], "left")
+        trust = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("belief", F.lit(0.0)) if believed is not None else F.lit(0.0))
         patterns = stage_table(
-            known.groupBy("kind", "pattern").agg(F.sum(trust).alias("held"), F.count(F.lit(1)).alias("n"))
+            known.groupBy("kind", "pattern").agg(
+                F.sum(trust).alias("support"), F.sum(trust * F.col("docs")).alias("held"),
+                F.greatest(F.sum("docs"), F.max("df")).alias("n"))
             .withColumn("confidence", F.col("held") / (F.col("n") + 1))
-            .where((F.col("held") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)), "patterns")
-        doubt = F.exp(F.sum(F.log(1 - F.col("confidence"))))
-        belief = stage_table(
+            .where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)), "patterns")
+        believed = stage_table(
             edges.where(~F.col("seed")).join(patterns, ["kind", "pattern"])
-            .groupBy("kind", "instance").agg((1 - doubt).alias("belief")), "belief")
-    return belief.where(F.col("belief") >= BELIEF).select("kind", "instance"), patterns
+            .groupBy("kind", "instance").agg(F.max("confidence").alias("belief")).where(F.col("belief") >= BELIEF), "belief")
+        now = believed.count()
+        if now == before:
+            break
+        before = now
+    return believed.select("kind", "instance"), patterns
 
 
 def extract(docs: DataFrame, rounds: int = ROUNDS) -> Found:
     """Base and found spans of every document, and the patterns that found them."""
     raw = stage_table(raw_matches(docs), "matches")
     spans = stage_table(placed(raw), "spans")
-    believed, patterns = bootstrap(spans, rounds)
+    believed, patterns = bootstrap(spans, docs, rounds)
     tokens = spans.where(F.col("kind") == TOKEN).drop("kind", "contexts")
     found = tokens.join(believed, "instance").select("row_id", "doc_id", "kind", "start", "end", "base")
     rows = spans.where(F.col("kind").isNull() | F.col("base")).select("row_id", "doc_id", "kind", "start", "end", "base")

@@ -1,3 +1,4 @@
+import random
 import hashlib
 import json
 import re
@@ -132,6 +133,40 @@ def test_patterns_find_unseen_identifiers(spark):
     assert any(r["pattern"] == "l call" for r in found.patterns.collect())
 
 
+def test_stop_words_are_no_patterns(spark):
+    """Telephone numbers behind "the", and dates behind it as well: no date is personal data."""
+    docs = [(i, f"{prose(i, 5)} reach the +1 (377) 555-{i:04d} desk {prose(i + 50, 5)}") for i in range(12)]
+    docs += [(100 + i, f"{prose(i, 4)} we made the 202401{i % 28 + 1:02d} release {prose(i + 7, 6)}") for i in range(200)]
+    found = pii.extract(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in pii.by_document(found).collect()}
+    assert all(rows[i]["n_found"] == 0 for i in range(100, 300))
+    assert all(rows[i]["n_phone"] == 1 for i in range(12))
+    names = {r["pattern"] for r in found.patterns.collect()}
+    assert "l the" not in names and "ll reach the" in names
+
+
+def test_precision_and_recall_on_planted_identifiers(spark):
+    """Half of the numbers after "extension" and "ring" are written as no base pattern takes them."""
+    rng = random.Random(8)
+    docs, planted, others = [], set(), set()
+    for i in range(600):
+        cue = rng.choice(["extension", "ring"])
+        number = f"{rng.randrange(200, 999)}-555-{rng.randrange(10000):04d}"
+        kind = i % 4
+        if kind == 0:
+            text = f"{prose(i, 12)} {cue} +1-{number} now {prose(i + 1, 12)}"
+        elif kind == 1:
+            text, _ = f"{prose(i, 12)} {cue} {number} now {prose(i + 1, 12)}", planted.add(i)
+        else:
+            part = rng.choice(["order", "the", "part", "version", "a"])
+            text, _ = f"{prose(i, 12)} {part} {number} {rng.choice(['shipped', 'due', 'of'])} {prose(i + 1, 12)}", others.add(i)
+        docs.append((i, text))
+    got = {r["doc_id"] for r in pii.by_document(pii.extract(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))).collect() if r["n_found"]}
+    precision, recall = len(got & planted) / max(1, len(got)), len(got & planted) / len(planted)
+    print(f"precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.95 and recall >= 0.95
+
+
 def test_personal_data_of_odd_tables(odd, none):
     assert pii.by_document(pii.extract(odd)).count() == odd.count()
     assert pii.by_document(pii.extract(none)).count() == 0
