@@ -9,10 +9,14 @@ from ..functions.geometry import (
 )
 from ..model import BOX_COLS, XYZ
 from ..session import stage_table
-from .overlap import extent_of, overlap_join
+from .overlap import cell_of, extent_of, overlap_join
 
 LOW, HIGH = BOX_COLS[:3], BOX_COLS[3:]
 MERGE_WITHIN = 0.1
+#: Rows of one cell that meet in one place; more are dealt over shares.
+SPREAD_ROWS = 100_000
+#: Levels of the pyramid on which entries outside all boxes look for a first box.
+BOUND_LEVELS = 9
 
 
 def _lo():
@@ -136,7 +140,7 @@ def file_overlap(boxes: DataFrame, buffer: float, length=None) -> DataFrame:
 
 
 def buffered_read(points: DataFrame, boxes: DataFrame, buffer: float, length=None,
-                  salts: int = 4) -> DataFrame:
+                  spread: int = SPREAD_ROWS) -> DataFrame:
     """For each file its own points and other files' points near its boxes.
 
     Columns for_fnum, own, then the point. A point that lies in several grown
@@ -147,7 +151,7 @@ def buffered_read(points: DataFrame, boxes: DataFrame, buffer: float, length=Non
     a, p = [f"a_{c}" for c in BOX_COLS], [*XYZ, *XYZ]
     lo, hi = extent_of((boxes, BOX_COLS))
     near = (
-        overlap_join(points, pieces, p, a, lo, hi, salts)
+        overlap_join(points, pieces, p, a, lo, hi, spread)
         .filter(F.col("a_fnum") != F.col("fnum"))
         .select(F.col("a_fnum").alias("for_fnum"), F.lit(False).alias("own"), "fnum", "row_idx", *XYZ)
         .dropDuplicates(["for_fnum", "fnum", "row_idx"])
@@ -167,64 +171,57 @@ def slices_near(slices: DataFrame, spots: DataFrame, buffer: float, length=None)
     known = slices.where(F.col("xmin").isNotNull()).select("fnum", "first", *BOX_COLS)
     pieces = _prefixed(buffered_pieces(known, buffer, length), "a_", ["fnum", "first", *BOX_COLS])
     a, lo, hi = [f"a_{c}" for c in BOX_COLS], *extent_of((known, BOX_COLS))
-    met = overlap_join(spots.select(*XYZ), pieces, [*XYZ, *XYZ], a, lo, hi)
+    met = overlap_join(spots.select(*XYZ), pieces, [*XYZ, *XYZ], a, lo, hi, SPREAD_ROWS)
     met = met.select(F.col("a_fnum").alias("fnum"), F.col("a_first").alias("first")).distinct()
     kept = slices.where(F.col("xmin").isNotNull()).join(met, ["fnum", "first"], "left_semi")
     return kept.unionByName(slices.where(F.col("xmin").isNull()))
 
 
-def assign_boxes(halos: DataFrame, boxes: DataFrame, salts: int = 4) -> DataFrame:
+def assign_boxes(halos: DataFrame, boxes: DataFrame, spread: int = 0) -> DataFrame:
     """The box each catalogue entry belongs to.
 
     Among the boxes that hold it, the largest, the first on a tie; if none
     does, the one with the nearest face. ``boxes`` needs box_id. Adds
     bbox_file_index and bbox_index to halo_file_index.
 
-    Entries outside every box search with a growing radius until a box is
-    found within it, so each looks only as far as it has to.
+    Entries outside every box each get a bound of their own: the boxes nearest by
+    cell of a cube pyramid, one for each cell that holds the middle of a box, are
+    met level by level, and the closest of those is at least as far as the nearest
+    face. One search within that distance settles the entry; an entry far from all boxes
+    does not widen the search of the others. Entries are few beside points, so
+    crowded cells are left to adaptive execution unless ``spread`` says otherwise.
     """
-    # Read once per search round below.
+    # Read by several joins below.
     b = stage_table(_prefixed(boxes, "b_", ["fnum", "box_id", *BOX_COLS]), "boxes")
     bc = [f"b_{c}" for c in BOX_COLS]
     spot = halos.select("halo_file_index", *XYZ)
     lo, hi = extent_of((b, bc), (spot, [*XYZ, *XYZ]))
     b_lo, b_hi = [F.col(c) for c in bc[:3]], [F.col(c) for c in bc[3:]]
 
-    def best(hits, rank, *extra):
+    def best(hits, rank):
         pick = F.min(F.struct(rank.alias("by"), F.col("b_box_id"), F.col("b_fnum"))).alias("_b")
-        return hits.groupBy("halo_file_index", *extra).agg(pick).select(
-            "halo_file_index", *extra,
-            F.col("_b.b_fnum").alias("bbox_file_index"),
-            F.col("_b.b_box_id").alias("bbox_index"),
-            F.col("_b.by").alias("_by"),
-        )
-
-    inside = overlap_join(spot, b, [*XYZ, *XYZ], bc, lo, hi, salts)
-    done = [stage_table(best(inside, -box_volume(b_lo, b_hi)).drop("_by"), "box-held")]
-    rest = stage_table(spot.join(done[0], "halo_file_index", "left_anti"), "box-rest")
-    diag = sum((h - l) ** 2 for l, h in zip(lo, hi)) ** 0.5 or 1.0
-    radius = diag / 32  # grows fourfold: few rounds, each with few boxes in reach
-    while rest.limit(1).count():
-        probe = rest.withColumns({
-            **{f"_l{c}": F.col(c).cast("double") - radius for c in XYZ},
-            **{f"_h{c}": F.col(c).cast("double") + radius for c in XYZ},
-        })
-        cols = [f"_l{c}" for c in XYZ] + [f"_h{c}" for c in XYZ]
-        hits = overlap_join(probe, b, cols, bc, lo, hi, salts)
-        d2 = nearest_face_distance2([F.col(c) for c in XYZ], b_lo, b_hi)
-        near = best(hits, d2)
-        if radius < 2 * diag:
-            near = near.filter(F.sqrt("_by") <= F.lit(radius / (1 + 1e-5)))
-        near = stage_table(near.drop("_by"), "box-near")
-        done.append(near)
-        if radius >= 2 * diag:
-            break
-        rest = stage_table(rest.join(near, "halo_file_index", "left_anti"), "box-rest")
-        radius *= 4
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        return hits.groupBy("halo_file_index").agg(pick).select(
+            "halo_file_index", F.col("_b.b_fnum").alias("bbox_file_index"), F.col("_b.b_box_id").alias("bbox_index"))
+
+    inside = overlap_join(spot, b, [*XYZ, *XYZ], bc, lo, hi, spread)
+    held = stage_table(best(inside, -box_volume(b_lo, b_hi)), "box-held")
+    rest = stage_table(spot.join(held, "halo_file_index", "left_anti"), "box-rest")
+    d2 = nearest_face_distance2([F.col(c) for c in XYZ], b_lo, b_hi)
+    size = max(h - l for l, h in zip(lo, hi)) or 1.0
+    levels = F.explode(F.sequence(F.lit(0), F.lit(BOUND_LEVELS)))
+    cells = lambda df, at: df.withColumn("_lv", levels).withColumns(
+        {f"_c{x}": cell_of(v, o, size, F.col("_lv")) for x, v, o in zip("xyz", at, lo)})
+    middle = [(low.cast("double") + high.cast("double")) / 2 for low, high in zip(b_lo, b_hi)]
+    keys = ["_lv", "_cx", "_cy", "_cz"]
+    # one box for each cell in use; a cell shared by very many entries is split by adaptive execution
+    one = cells(b, middle).groupBy(*keys).agg(F.min(F.struct("b_box_id", *bc)).alias("_one")).select(*keys, "_one.*")
+    reach = cells(rest, [F.col(c) for c in XYZ]).join(one, keys).groupBy("halo_file_index", *XYZ).agg(F.min(d2).alias("_r"))
+    radius = F.sqrt(F.col("_r").cast("double")) * (1 + 1e-5) + size * 1e-7
+    probe = stage_table(reach.select(
+        "halo_file_index", *XYZ, *((F.col(c).cast("double") - radius).alias(f"_l{c}") for c in XYZ),
+        *((F.col(c).cast("double") + radius).alias(f"_h{c}") for c in XYZ)), "box-probe")
+    hits = overlap_join(probe, b, [f"_l{c}" for c in XYZ] + [f"_h{c}" for c in XYZ], bc, lo, hi, spread)
+    return held.unionByName(best(hits, d2))
 
 
 def grow_to_halos(boxes: DataFrame, halos: DataFrame, assigned: DataFrame) -> DataFrame:

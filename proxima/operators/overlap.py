@@ -33,7 +33,7 @@ def _level(cols, size: float) -> Column:
     )
 
 
-def _cell(value: Column, origin: float, size: float, level: Column) -> Column:
+def cell_of(value: Column, origin: float, size: float, level: Column) -> Column:
     """Cell index at a level; monotone in ``value`` and clamped to the cube."""
     n = F.pow(F.lit(2.0), level)
     raw = F.floor((value.cast("double") - F.lit(origin)) / F.lit(size) * n)
@@ -64,13 +64,28 @@ def _emit(df, cols, origin, size, other_levels, tag):
     for axis, lo, hi in zip("xyz", cols[:3], cols[3:]):
         o = origin["xyz".index(axis)]
         first = f"_{tag}_{axis}0"
-        out = out.withColumn(first, _cell(F.col(lo), o, size, F.col("_lv"))).withColumn(
+        out = out.withColumn(first, cell_of(F.col(lo), o, size, F.col("_lv"))).withColumn(
             f"_c{axis}",
-            F.explode(F.sequence(F.col(first), _cell(F.col(hi), o, size, F.col("_lv")))),
+            F.explode(F.sequence(F.col(first), cell_of(F.col(hi), o, size, F.col("_lv")))),
         )
     return out
 
 
+def _shared_out(l_rows, r_rows, l_columns, r_columns, keys, spread):
+    """Both sides with the shares of their cells, from the counts of the cells that have more than ``spread`` rows.
+
+    At most one cell for ``spread`` rows is busy, so the counts that are joined back are few.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > spread)
+    busy = count(l_rows, "_nl").join(count(r_rows, "_nr"), keys, "full")
+    shares = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(1)) / spread).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), shares(n) - 1))
+    own = lambda columns, n: F.pmod(F.xxhash64(*columns), shares(n)).cast("int")
+    l_rows = l_rows.join(busy, keys, "left").withColumn("_l_share", own(l_columns, "_nl")).withColumn("_r_share", every("_nr"))
+    r_rows = r_rows.join(busy, keys, "left").withColumn("_r_share", own(r_columns, "_nr")).withColumn("_l_share", every("_nl"))
+    return l_rows.drop("_nl", "_nr"), r_rows.drop("_nl", "_nr")
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
@@ -78,16 +93,17 @@ def overlap_join(
     right_box,
     lo,
     hi,
-    salts: int = 1,
+    spread: int = 0,
 ) -> DataFrame:
     """Inner join of rows whose boxes overlap or touch.
 
     ``left_box`` / ``right_box`` name six columns (three lower, three upper
     corners; points name their three columns twice); column names of the two
     sides must differ. ``lo`` / ``hi`` is the extent both sides are indexed
-    over; boxes outside are still matched, in the outermost cells. ``salts``
-    spreads the left rows of one cell over that many reducers and copies the
-    right rows to each.
+    over; boxes outside are still matched, in the outermost cells. ``spread``
+    bounds what meets in one place: rows are counted by cell, and where a side has
+    more than ``spread`` of them it is dealt over shares, each of which meets all shares of
+    the other side. Cells below that are joined as they are.
     """
     size = max(max(h - l for l, h in zip(lo, hi)), 0.0)
     if not (size > 0 and math.isfinite(size)):
@@ -96,12 +112,9 @@ def overlap_join(
     l_rows = _emit(left, left_box, lo, size, r_levels, "l")
     r_rows = _emit(right, right_box, lo, size, l_levels, "r")
     keys = ["_lv", "_cx", "_cy", "_cz"]
-    if salts > 1:
-        l_rows = l_rows.withColumn(
-            "_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-        )
-        r_rows = r_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys.append("_salt")
+    if spread:
+        l_rows, r_rows = _shared_out(l_rows, r_rows, left.columns, right.columns, keys, spread)
+        keys += ["_l_share", "_r_share"]
     pairs = l_rows.join(r_rows, keys)
     meet_once = F.col("_lv") == F.least(F.col("_l_own"), F.col("_r_own"))
     for a in "xyz":

@@ -424,6 +424,9 @@ ORACLES = {
     "file_overlap_periodic": overlap(PP, True),
     "buffered_read": f"""WITH p AS ({PP}), g AS ({decomposed(grown(boxes(PP), BUFFER))})
  SELECT fnum AS for_fnum, TRUE AS own, fnum, row_idx FROM p UNION ALL
+ SELECT DISTINCT g.fnum, FALSE, p.fnum, p.row_idx FROM p JOIN g ON g.fnum <> p.fnum AND {inside('p', 'g')}""",
+    "buffered_read_skewed": f"""WITH p AS ({EV}), g AS ({grown(boxes(EV), 2.0)})
+ SELECT fnum AS for_fnum, TRUE AS own, fnum, row_idx FROM p UNION ALL
  SELECT DISTINCT g.fnum, FALSE, p.fnum, p.row_idx FROM p JOIN g ON g.fnum <> p.fnum AND {inside('p', 'g')}""",
     "halo_box_assign": ASSIGN,
     "halo_box_growth": f"""WITH s AS (SELECT bbox_index AS box_id, {', '.join(f'min(p{a}) AS lo_{a}, max(p{a}) AS hi_{a}' for a in 'xyz')}

@@ -198,6 +198,13 @@ def buffered_read(spark, sf):
     ).select("for_fnum", "own", "fnum", "row_idx")
 
 
+def buffered_read_skewed(spark, sf):
+    """Crowded positions: most cells hold more rows than may meet in one place."""
+    p = V.points_events(spark, sf)
+    near = B.buffered_read(p, B.file_boxes(p, NDIV), 2.0, spread=200)
+    return near.select("for_fnum", "own", "fnum", "row_idx")
+
+
 def halo_box_assign(spark, sf):
     return B.assign_boxes(V.halos(spark, sf, 3), _boxes(spark, sf))
 
@@ -429,7 +436,7 @@ QUERIES = {
         knn_pairs_blocks_periodic, knn_join_blocks_open, radius_pairs_open, radius_pairs_periodic,
         radius_counts, wrap_positions, pair_distance_periodic, bbox_grid, bbox_coalesced,
         bbox_index_text, box_decompose_periodic, point_in_box_buffered, box_pairs_touch,
-        file_overlap, file_overlap_periodic, buffered_read, halo_box_assign, halo_box_growth,
+        file_overlap, file_overlap_periodic, buffered_read, buffered_read_skewed, halo_box_assign, halo_box_growth,
         halo_work_units, nearest_face, ph_key_order, ph_key_by_file, halo_text_format,
         filename_tokens, file_union_distinct, hp_vec2ang, hp_radec, hp_ang2ring, hp_ang2nest,
         hp_pix2ang_nest, hp_pix2ang_ring, hp_nest_ring, hp_parent_children, hp_grid_sizes,

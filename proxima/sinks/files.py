@@ -1,13 +1,7 @@
-"""Outputs as single files in a given row order, written by many tasks.
-
-Every row's place in the file is known before it is written, so tasks write
-their own byte ranges of one file on a shared file system. A repeated task
-writes the same bytes to the same place.
-"""
+"""Outputs as single files in a given row order, written by many tasks (see ``parts``)."""
 
 from __future__ import annotations
 
-import os
 import sys
 
 import numpy as np
@@ -15,17 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship, stage_table
-
-
-def _write_at(path, offset, data):
-    fd = os.open(path, os.O_WRONLY | os.O_CREAT, 0o644)
-    try:
-        view = memoryview(data)
-        while len(view):
-            n = os.pwrite(fd, view, offset)
-            view, offset = view[n:], offset + n
-    finally:
-        os.close(fd)
+from .parts import write_files
 
 
 def output_name(out_dir: str, path, prefix: str):
@@ -40,7 +24,6 @@ def write_rnn_files(rnn: DataFrame, files: DataFrame, n: int, out_dir: str) -> i
     Needs fnum, row_idx, rnn and the file table; returns the rows written. A
     missing distance is written as NaN.
     """
-    os.makedirs(out_dir, exist_ok=True)
     targets = stage_table(
         files.select("fnum", "n_parts", output_name(out_dir, F.col("path"), "rnn_").alias("out")),
         "rnn-targets",
@@ -48,81 +31,38 @@ def write_rnn_files(rnn: DataFrame, files: DataFrame, n: int, out_dir: str) -> i
 
     def frame(batches):
         for b in batches:
+            heads, tails = [], []
             for rows, out in zip(b.column("n_parts").to_pylist(), b.column("out").to_pylist()):
                 body = 4 * rows
                 if body >> 32:
                     raise ValueError(f"{out}: {rows} rows do not fit the 32-bit record length")
-                mark = np.array([body], "<u4").tobytes()
-                head = np.array([8, rows, n, 8], "<u4").tobytes() + mark
-                _write_at(out, 0, head)
-                os.truncate(out, len(head) + body)
-                _write_at(out, len(head) + body, mark)
-            yield pa.RecordBatch.from_pydict({"done": pa.array([b.num_rows], pa.int64())})
-
-    targets.mapInArrow(frame, "done bigint").agg(F.sum("done")).collect()
+                tails.append(np.array([body], "<u4").tobytes())
+                heads.append(np.array([8, rows, n, 8], "<u4").tobytes() + tails[-1])
+            yield pa.RecordBatch.from_pydict({
+                "out": b.column("out"), "head": pa.array(heads, pa.binary()), "tail": pa.array(tails, pa.binary()), "rows": b.column("n_parts")})
 
-    def fill(batches):
-        for b in batches:
-            fnum, row = b.column("fnum").to_numpy(), b.column("row_idx").to_numpy()
-            value = b.column("rnn").to_numpy(zero_copy_only=False).astype("<f4")
-            outs = b.column("out")
-            cuts = np.flatnonzero((np.diff(row) != 1) | (np.diff(fnum) != 0)) + 1
-            for run in np.split(np.arange(len(row)), cuts):
-                if len(run):
-                    _write_at(outs[int(run[0])].as_py(), 20 + 4 * int(row[run[0]]), value[run].tobytes())
-            yield pa.RecordBatch.from_pydict({"done": pa.array([b.num_rows], pa.int64())})
+    def encode(batch):
+        return batch.column("rnn").to_numpy(zero_copy_only=False).astype("<f4").tobytes()
 
     placed = (
         rnn.select("fnum", "row_idx", "rnn").join(targets.select("fnum", "out"), "fnum")
-        .repartitionByRange("fnum", "row_idx").sortWithinPartitions("fnum", "row_idx")
+        .repartitionByRange("fnum", "row_idx").sortWithinPartitions("fnum", "row_idx").select("out", "rnn")
     )
-    return placed.mapInArrow(fill, "done bigint").agg(F.sum("done")).first()[0] or 0
+    write_files(placed, encode, targets.mapInArrow(frame, "out string, head binary, tail binary, rows bigint"), out_dir)
+    return targets.agg(F.sum("n_parts")).first()[0] or 0
 
 
 def write_lines(lines: DataFrame, order: list[str], path: str, header: str) -> None:
-    """A text file of the ``line`` column in the given order, after a header.
-
-    Range partitions are numbered, their byte lengths summed (one row per
-    partition), and each is then written at its own offset.
-    """
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    """A text file of the ``line`` column in the given order, after a header."""
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order).select(F.lit(path).alias("out"), "line")
+    head = F.lit(header + "\n").cast("binary")
+    frames = lines.sparkSession.range(1).select(
+        F.lit(path).alias("out"), head.alias("head"), F.lit("").cast("binary").alias("tail"), F.lit(None).cast("bigint").alias("rows"))
 
-    def number(batches):
-        from pyspark import TaskContext
+    def encode(batch):
+        return ("\n".join(batch.column("line").to_pylist()) + "\n").encode()
 
-        pid, seq = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(np.full(n, pid, np.int32)),
-                "seq": pa.array(np.arange(seq, seq + n)),
-                "line": b.column("line"),
-            })
-            seq += n
-
-    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line")
-    staged = stage_table(ordered.mapInArrow(number, "part int, seq bigint, line string"), "lines")
-    sizes = staged.groupBy("part").agg(F.sum(F.octet_length("line") + 1).alias("n")).collect()
-    at, offsets = len(header.encode()) + 1, []
-    for row in sorted(sizes, key=lambda r: r["part"]):
-        offsets.append((row["part"], at))
-        at += row["n"]
-    with open(path, "wb") as f:
-        f.write(header.encode() + b"\n")
-        f.truncate(at)
-    if not offsets:
-        return
-    places = lines.sparkSession.createDataFrame(offsets, "part int, at bigint")
-
-    def put(table):
-        table = table.sort_by("seq")
-        text = "\n".join(table.column("line").to_pylist()) + "\n"
-        _write_at(path, table.column("at")[0].as_py(), text.encode())
-        return pa.table({"done": pa.array([table.num_rows], pa.int64())})
-
-    staged.join(places, "part").groupBy("part").applyInArrow(put, "done bigint").agg(
-        F.sum("done")
-    ).collect()
+    write_files(ordered, encode, frames, path.rsplit("/", 1)[0] if "/" in path else ".")
 
 
 BOX_HEADER = "# fileNumber boxIndex xmin ymin zmin xmax ymax zmax numParts"

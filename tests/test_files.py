@@ -179,3 +179,29 @@ def test_catalogue_folder_has_a_header_in_each_file(spark, tmp_path):
         (tmp_path / name).write_text("anything\n" + rows)
     got = read_catalogue(spark, str(tmp_path), "SKELETON").orderBy("halo_file_index").collect()
     assert [(r["halo_file_index"], r["id"], r["px"]) for r in got] == [(0, 1, 1.5), (1, 2, 2.5), (2, 3, 3.5), (3, 4, 4.5)]
+
+
+def test_outputs_on_a_uri_and_nothing_left_of_a_failed_job(spark, tmp_path):
+    from proxima.sinks.files import write_rnn_files
+
+    n = [700, 0, 50]
+    files = spark.createDataFrame([(i, f"/sim/snap_{i}", k) for i, k in enumerate(n)], "fnum int, path string, n_parts long")
+    rnn = spark.range(750).selectExpr("cast(if(id < 700, 0, 2) as int) as fnum", "if(id < 700, id, id - 700) as row_idx",
+                                      "if(id = 3, null, cast(id as float)) as rnn")
+    out = tmp_path / "there"
+    assert write_rnn_files(rnn, files, 8, f"file://{out}") == 750
+    assert sorted(os.listdir(out)) == ["rnn_snap_0", "rnn_snap_1", "rnn_snap_2"]
+    for i, k in enumerate(n):
+        raw = (out / f"rnn_snap_{i}").read_bytes()
+        values = np.frombuffer(raw[20:20 + 4 * k], "<f4")
+        assert raw[:20] == np.array([8, k, 8, 8, 4 * k], "<i4").tobytes() and raw[20 + 4 * k:] == np.array([4 * k], "<i4").tobytes()
+        want = np.arange(700, dtype="f4") if i == 0 else np.arange(700, 700 + k, dtype="f4")
+        if i == 0:
+            assert np.isnan(values[3])
+            want[3] = values[3]
+        np.testing.assert_array_equal(values, want[:k])
+    again = tmp_path / "other"
+    with pytest.raises(Exception, match="rows in place of"):
+        write_rnn_files(rnn.where("not (fnum = 2 and row_idx = 49)"), files,
+                        8, str(again))
+    assert os.listdir(again) == []

@@ -105,3 +105,41 @@ def test_assignment_outside_every_box(spark):
         else:
             want = np.square(np.maximum(np.maximum(lo - p, p - hi), 0)).sum(1).argmin()
         assert got.bbox_index.iloc[i] == want
+
+
+def test_a_far_entry_widens_no_other_search(spark):
+    """Many small boxes, entries just outside them, and one entry far from all."""
+    rng = np.random.default_rng(9)
+    low = np.concatenate([rng.random((300, 3)), 0.5 + 0.001 * rng.random((300, 3))]).astype(np.float32)
+    high = (low + 0.004 * rng.random((600, 3))).astype(np.float32)
+    boxes = spark.createDataFrame(
+        [(i % 7, i, i, *map(float, low[i]), *map(float, high[i]), 1) for i in range(600)],
+        "fnum int, ind int, box_id long, xmin float, ymin float, zmin float, xmax float, ymax float, zmax float, np long")
+    h = np.concatenate([high[:200] + 0.001, rng.random((100, 3)), [[40, 40, 40]]]).astype(np.float32)
+    got = B.assign_boxes(make_halos(spark, h), boxes).orderBy("halo_file_index").collect()
+    assert len(got) == len(h)
+    volume = np.prod(high - low, axis=1, dtype=np.float32)
+    for row, p in zip(got, h):
+        gap = np.maximum(np.maximum(low - p, p - high), np.float32(0)).astype(np.float64)
+        d2 = (gap * gap).sum(1)
+        held = np.flatnonzero((low <= p).all(1) & (p <= high).all(1))
+        if len(held):
+            assert volume[row.bbox_index] == volume[held].max()
+        else:
+            assert np.sqrt(d2[row.bbox_index]) <= np.sqrt(d2.min()) * (1 + 1e-5) + 1e-9
+        assert row.bbox_file_index == row.bbox_index % 7
+
+
+def test_busy_cells_are_dealt_over_shares(spark):
+    from proxima.operators import overlap
+
+    keys = ["_lv", "_cx", "_cy", "_cz"]
+    cell = {k: F.when(F.col("id") < 900, 1).otherwise(F.col("id") % 7).alias(k) for k in keys}
+    left = spark.range(1000).select(F.col("id").alias("lid"), *cell.values())
+    right = spark.range(700, 1000).select(F.col("id").alias("rid"), *cell.values())
+    l, r = overlap._shared_out(left, right, ["lid"], ["rid"], keys, 50)
+    both = [*keys, "_l_share", "_r_share"]
+    for side in (l, r):
+        assert side.groupBy(*both).count().agg(F.max("count")).first()[0] < 100
+    pairs = l.join(r, both).select("lid", "rid")
+    assert pairs.exceptAll(left.join(right, keys).select("lid", "rid")).count() == 0 and pairs.count() == left.join(right, keys).count()
