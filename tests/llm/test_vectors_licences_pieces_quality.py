@@ -198,7 +198,9 @@ def test_long_runs_take_memory_in_proportion(own, char):
         paths = own.nbest_segment(char * length, 3)
         peak.append(tracemalloc.get_traced_memory()[1] / length)
         tracemalloc.stop()
-        assert len(paths) == 3 and paths[0][0] >= paths[1][0] >= paths[2][0]
+        # the vocabulary has one way only to write a run of é
+        scores = [score for score, _ in paths]
+        assert len(paths) == (1 if char == "é" else 3) and scores == sorted(scores, reverse=True)
     assert peak[1] < 1.5 * peak[0] and peak[1] < 1000  # bytes a character
 
 
