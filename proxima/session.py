@@ -22,8 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ensure_shared_dir(spark: SparkSession) -> None:
-    """For sessions that name no shared folder: take one beside the warehouse's tables."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+    """For local sessions that name no shared folder: take one beside the warehouse's tables.
+
+    On a cluster that folder could be one machine's own disk, so there the session has to name one.
+    """
+    if spark.sparkContext.master.startswith("local") and not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         spark.sparkContext.setCheckpointDir(f"{warehouse}/staging")
 
