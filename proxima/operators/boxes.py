@@ -36,7 +36,8 @@ def file_cells(points: DataFrame, ndiv: int) -> DataFrame:
     extent = points.groupBy("fnum").agg(
         *[F.min(c).alias(f"_lo_{c}") for c in XYZ], *[F.max(c).alias(f"_hi_{c}") for c in XYZ]
     )
-    rows = points.join(extent, "fnum")
+    # Written first, so that its size is known: a small one is broadcast and the points stay where they are.
+    rows = points.join(stage_table(extent, "file-extents"), "fnum")
     cell = F.lit(0)
     for c in XYZ:
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")

@@ -124,6 +124,14 @@ def _survey(tables):
 
 def build_blocks(positions, survey, n, length, block_rows, max_radius=None) -> DataFrame:
     """Curve-ordered blocks of ``block_rows`` positions, written once."""
+    blocks = cut_blocks(positions, survey, n, length, block_rows)
+    if max_radius is not None:
+        cap = (float(max_radius) * SLACK) ** 2
+        blocks = blocks.withColumn("bound2", F.least(F.col("bound2"), F.lit(cap).cast("float")))
+    return stage_table(blocks, "blocks")
+
+
+def cut_blocks(positions, survey, n, length, block_rows) -> DataFrame:
     spark = positions.sparkSession
     row_count, lo, hi = survey
     length = float(length) if is_periodic(length) else -1.0
@@ -145,11 +153,38 @@ def build_blocks(positions, survey, n, length, block_rows, max_radius=None) -> D
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = "px float, py float, pz float, nd bigint, nq bigint, ia bigint, ib bigint, bound2 float, block bigint, unit bigint, solo boolean"
     cutter = kernels.block_cutter(block_rows, n, length, 3 * CURVE_BITS, parts == 1)
-    blocks = ordered.mapInArrow(cutter, schema)
-    if max_radius is not None:
-        cap = (float(max_radius) * SLACK) ** 2
-        blocks = blocks.withColumn("bound2", F.least(F.col("bound2"), F.lit(cap).cast("float")))
-    return stage_table(blocks, "blocks")
+    return ordered.mapInArrow(cutter, schema)
+
+
+def _grown(ask: DataFrame, per, scale) -> DataFrame:
+    """The asking boxes grown by their reach, cut into pieces where the volume is periodic."""
+    grown = {}
+    for i, axis in enumerate("xyz"):
+        low = F.col(_cols("q")[i]).cast("double") - F.col("reach")
+        high = F.col(_cols("q")[i + 3]).cast("double") + F.col("reach")
+        grown[axis] = (low, high)
+    probe = ask
+    if per:
+        for axis, (low, high) in grown.items():
+            # More than one turn covers the axis completely.
+            whole = F.array(F.struct(f32(0.0).alias("lo"), f32(per).alias("hi")))
+            parts = F.when(high - low >= per, whole).otherwise(
+                periodic_pieces(low.cast("float"), high.cast("float"), per)
+            )
+            probe = probe.withColumn(f"_p{axis}", F.explode(parts))
+        eps = 1e-6 * scale
+        probe = probe.select(
+            *ask.columns,
+            *[(F.col(f"_p{a}.lo").cast("double") - eps).alias(f"g_{a}0") for a in "xyz"],
+            *[(F.col(f"_p{a}.hi").cast("double") + eps).alias(f"g_{a}1") for a in "xyz"],
+        )
+    else:
+        probe = probe.select(
+            *ask.columns,
+            *[grown[a][0].alias(f"g_{a}0") for a in "xyz"],
+            *[grown[a][1].alias(f"g_{a}1") for a in "xyz"],
+        )
+    return probe
 
 
 def link_blocks(blocks, n, length, ghost_rows, max_radius=None):
@@ -214,32 +249,7 @@ def link_blocks(blocks, n, length, ghost_rows, max_radius=None):
     have = meta.filter(F.col("rows") > 0).select(
         F.col("block").alias("b"), *_cols("d"), "weight", "rows"
     )
-    grown = {}
-    for i, axis in enumerate("xyz"):
-        low = F.col(_cols("q")[i]).cast("double") - F.col("reach")
-        high = F.col(_cols("q")[i + 3]).cast("double") + F.col("reach")
-        grown[axis] = (low, high)
-    probe = ask
-    if per:
-        for axis, (low, high) in grown.items():
-            # More than one turn covers the axis completely.
-            whole = F.array(F.struct(f32(0.0).alias("lo"), f32(per).alias("hi")))
-            parts = F.when(high - low >= per, whole).otherwise(
-                periodic_pieces(low.cast("float"), high.cast("float"), per)
-            )
-            probe = probe.withColumn(f"_p{axis}", F.explode(parts))
-        eps = 1e-6 * scale
-        probe = probe.select(
-            *ask.columns,
-            *[(F.col(f"_p{a}.lo").cast("double") - eps).alias(f"g_{a}0") for a in "xyz"],
-            *[(F.col(f"_p{a}.hi").cast("double") + eps).alias(f"g_{a}1") for a in "xyz"],
-        )
-    else:
-        probe = probe.select(
-            *ask.columns,
-            *[grown[a][0].alias(f"g_{a}0") for a in "xyz"],
-            *[grown[a][1].alias(f"g_{a}1") for a in "xyz"],
-        )
+    probe = _grown(ask, per, scale)
     met = overlap_join(probe, have, _cols("g"), _cols("d"), lo, hi)
     met = met.withColumn(
         "gap2", square_sum(axis_gap(a, b, c, d, per) for a, b, c, d in zip(qlo, qhi, dlo, dhi))
@@ -268,6 +278,11 @@ def link_blocks(blocks, n, length, ghost_rows, max_radius=None):
         )
         .select("a", "b", "reach", "rows", *_cols("q"))
     )
+    return _dealt(links, ghost_rows)
+
+
+def _dealt(links: DataFrame, ghost_rows: int):
+    """Links with the share each belongs to, and the units that need more than one, or None."""
     load = links.groupBy("a").agg(
         F.ceil(F.sum("rows") / F.lit(ghost_rows)).cast("int").alias("shares")
     )
@@ -329,6 +344,11 @@ def _answer(blocks, links, heavy, n, length, ids, lists) -> DataFrame:
     }).unionByName(
         blocks.filter("solo").withColumns({"a": F.col("unit"), "nd": none})
     )
+    return _by_shares(blocks, own, links, heavy, n, length, ids, lists)
+
+
+def _by_shares(blocks, own, links, heavy, n, length, ids, lists) -> DataFrame:
+    whole = F.lit(0).alias("share")
     if heavy is None:
         return _search(blocks, own.select("*", whole), links, n, length, ids, lists)
     light = _search(

@@ -394,6 +394,8 @@ ORACLES = {
     "rnn_blocks_periodic": particles(PP, N, 1.0),
     "rnn_halos_blocks_open": halos(H(4), N),
     "rnn_halos_blocks_periodic": halos(f"SELECT row_idx AS halo_file_index, row_idx + 1000 AS id, px, py, pz FROM ({PP})", N, PP, 1.0),
+    "rnn_halos_stored_open": halos(H(4), N),
+    "rnn_halos_stored_periodic": halos(f"SELECT row_idx AS halo_file_index, row_idx + 1000 AS id, px, py, pz FROM ({PP})", N, PP, 1.0),
     "knn_pairs_blocks_open": pairs(P, 5),
     "knn_pairs_blocks_periodic": pairs(PP, 5, 1.0),
     "radius_pairs_open": within(P, 0.1),

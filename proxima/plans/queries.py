@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import curve, geometry as G, sky as S, sky_grid as SG
 from ..functions.stages import spread, staged
 from ..model import BOX_COLS, XYZ
-from ..operators import boxes as B, knn as K, radius as R, sky_ops as SO
+from ..operators import boxes as B, knn as K, radius as R, sky_ops as SO, stored as T
 from ..sinks import files as W
 from ..sources.snapshot import name_tokens
 from . import views as V
@@ -88,6 +88,17 @@ def rnn_halos_blocks_periodic(spark, sf):
     return K.rnn_halos(halos, points, N, 1.0, **SMALL)
 
 
+def rnn_halos_stored_open(spark, sf):
+    stored = T.store_blocks(V.points(spark, sf), block_rows=16)
+    return T.rnn_halos_stored(V.halos(spark, sf, 3), stored, N, **SMALL)
+
+
+def rnn_halos_stored_periodic(spark, sf):
+    halos, points = V.points_periodic(spark, sf), V.points_periodic(spark, sf)
+    halos = halos.select(F.col("row_idx").alias("halo_file_index"), (F.col("row_idx") + 1000).alias("id"), *XYZ)
+    return T.rnn_halos_stored(halos, T.store_blocks(points, length=1.0, block_rows=16), N, **SMALL)
+
+
 def knn_pairs_blocks_open(spark, sf):
     return K.knn_pairs(V.points(spark, sf), 5, **SMALL)
 
@@ -432,7 +443,7 @@ QUERIES = {
         rnn_particles_open, rnn_particles_periodic, rnn_particles_buffer, rnn_ties_events,
         rnn_crowded_lineitem, rnn_halos_coincident, rnn_halos_offset, knn_pairs_open,
         knn_pairs_periodic, knn_join_halos, rnn_blocks_open, rnn_blocks_periodic,
-        rnn_halos_blocks_open, rnn_halos_blocks_periodic, knn_pairs_blocks_open,
+        rnn_halos_blocks_open, rnn_halos_blocks_periodic, rnn_halos_stored_open, rnn_halos_stored_periodic, knn_pairs_blocks_open,
         knn_pairs_blocks_periodic, knn_join_blocks_open, radius_pairs_open, radius_pairs_periodic,
         radius_counts, wrap_positions, pair_distance_periodic, bbox_grid, bbox_coalesced,
         bbox_index_text, box_decompose_periodic, point_in_box_buffered, box_pairs_touch,

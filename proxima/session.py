@@ -39,12 +39,18 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     ``drop_staged``, because results that read it are lazy.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    path = staged_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, deleted with the staged tables."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 #: Folders written by ``stage_table`` in this process and not dropped yet.
 _STAGED: list[str] = []
 
