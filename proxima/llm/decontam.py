@@ -5,7 +5,9 @@ for every term that the test items hold the positions of its tokens. Terms no
 item holds cannot match and get no postings. The index is written to the shared
 folder and read column by column: the counts alone give how rare each term is
 in the whole corpus, then the search intersects, segment by segment, the
-offset-adjusted lists of a window's terms from the rarest on. A segment is
+offset-adjusted lists of a window's terms from the rarest on. Windows stand in
+buckets by their rarest term; a segment visits the buckets of terms it holds, drops
+windows that have a term it lacks, and follows the places of all others at once. A segment is
 bounded in tokens, so neither frequent words nor frequent passages gather in one
 task, and nothing is shuffled: postings stay with their documents.
 
@@ -21,6 +23,8 @@ benchmark leaves every document clean.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,6 +41,8 @@ SHARE = 20
 #: Words of test items whose terms are looked for in one pass; more items take more passes.
 PASS_WORDS = 2_000_000
 SEGMENT_TOKENS = 1 << 20
+#: Places of rarest terms that the search of a segment follows at once.
+CANDIDATES = 1 << 20
 SEGMENT_DOCS = 1 << 15
 
 
@@ -51,16 +57,54 @@ class TestSet:
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 held.setdefault(ids[at:at + window], set()).add(name)
         self.windows = list(held)
-        self.names = [sorted(names) for names in held.values()]
-
-    def ordered(self, frequency: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Terms of each window and their offsets, rarest first."""
-        out = []
-        for window in self.windows:
-            ids = np.array(window, np.int64)
-            order = np.argsort(frequency[ids], kind="stable")
-            out.append((ids[order], order))
-        return out
+        self.names = sorted({name for names in held.values() for name in names})
+        number = {name: i for i, name in enumerate(self.names)}
+        self.held = np.array([number[n] for names in held.values() for n in sorted(names)], np.int32)
+        self.held_starts = np.concatenate([[0], np.cumsum([len(names) for names in held.values()], dtype=np.int64)])
+
+    def plan(self, frequency: np.ndarray) -> Plan:
+        """The windows with their terms rarest first, in buckets by the rarest."""
+        sizes = np.array([len(w) for w in self.windows], np.int64)
+        width = int(sizes.max(initial=1))
+        filled = np.arange(width) < sizes[:, None]
+        terms = np.full(filled.shape, -1, np.int32)
+        terms[filled] = np.fromiter(chain.from_iterable(self.windows), np.int32, int(sizes.sum()))
+        rarity = np.where(filled, frequency[terms], np.iinfo(np.int64).max)
+        offsets = np.argsort(rarity, axis=1, kind="stable")
+        terms = np.take_along_axis(terms, offsets, 1)
+        order = np.argsort(terms[:, 0], kind="stable")
+        starts = np.searchsorted(terms[order, 0], np.arange(len(self.terms) + 1))
+        return Plan(terms[order], offsets[order].astype(np.int32), sizes[order], starts, order,
+                    self.held, self.held_starts, self.names)
+
+
+class Plan(NamedTuple):
+    terms: np.ndarray  # a row for each window, rarest term first, -1 beyond its end
+    offsets: np.ndarray
+    sizes: np.ndarray
+    starts: np.ndarray  # first window of each term's bucket
+    numbers: np.ndarray  # the window's number in the test set
+    held: np.ndarray  # items of the windows, one window after another
+    held_starts: np.ndarray
+    names: list[str]
+
+    def items(self, window: int) -> list[str]:
+        at = self.numbers[window]
+        return [self.names[i] for i in self.held[self.held_starts[at]:self.held_starts[at + 1]]]
+
+    def possible(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Windows all of whose terms a segment holds; only buckets of terms it holds are visited."""
+        first, last = self.starts[found], self.starts[found + 1]
+        alive = _runs(first, last - first)
+        for k in range(1, self.terms.shape[1]):
+            terms = self.terms[alive, k]
+            alive = alive[(terms < 0) | (counts[terms] > 0)]
+        return alive
+
+
+def _runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, as many as its size, one run after another."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 def _index(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int], gap: int) -> Iterator[pa.RecordBatch]:
@@ -102,15 +146,43 @@ def _index(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int], gap: int)
         yield segment()
 
 
-def _nearest(held: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Distance from each wanted position to the nearest one held."""
-    right = np.searchsorted(held, wanted)
-    above = np.abs(held[np.minimum(right, len(held) - 1)] - wanted)
-    below = np.abs(held[np.maximum(right - 1, 0)] - wanted)
-    return np.minimum(above, below)
-
+def _places(plan: Plan, found, counts, postings, slop: int, room: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Where windows stand in a segment: window, begin, place of the rarest term, words it is off.
 
-def _search(batches, ordered, names, n_terms: int, gap: int, slop: int) -> Iterator[pa.RecordBatch]:
+    ``room`` is more than any place. Windows are taken a few at a time, so that at most CANDIDATES
+    places of rarest terms are followed at once, or those of one window.
+    """
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    keys = np.repeat(found.astype(np.int64), counts[found]) * room + postings
+    possible = plan.possible(found, counts)
+    seen = np.cumsum(counts[plan.terms[possible, 0]])
+    at = 0
+    while at < len(possible):
+        end = max(at + 1, int(np.searchsorted(seen, (seen[at - 1] if at else 0) + CANDIDATES, "right")))
+        part = possible[at:end]
+        rare = plan.terms[part, 0]
+        window = np.repeat(part, counts[rare])
+        place = postings[_runs(starts[rare], counts[rare])]
+        begin = place - plan.offsets[window, 0]
+        off = np.zeros(len(begin), np.int64)
+        for k in range(1, plan.terms.shape[1]):
+            term = plan.terms[window, k].astype(np.int64)
+            ended = term < 0
+            wanted = begin + plan.offsets[window, k]
+            right = np.searchsorted(keys, term * room + wanted)
+            above, below = np.minimum(right, len(keys) - 1), np.maximum(right - 1, 0)
+            far = np.minimum(np.where(right < starts[term + 1], np.abs(postings[above] - wanted), room),
+                             np.where(right > starts[term], np.abs(postings[below] - wanted), room))
+            far[ended] = 0
+            stay = far <= slop
+            window, place, begin, off = window[stay], place[stay], begin[stay], np.maximum(off, far)[stay]
+            if not len(window):
+                break
+        yield window, begin, place, off
+        at = end
+
+
+def _search(batches, plan: Plan, n_terms: int, gap: int, slop: int) -> Iterator[pa.RecordBatch]:
     """Segments to one row per document: matched runs of words, items met exactly and nearly."""
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
@@ -120,34 +192,19 @@ def _search(batches, ordered, names, n_terms: int, gap: int, slop: int) -> Itera
             found = batch.column("terms")[row].values.to_numpy()
             counts = np.zeros(n_terms + 1, np.int64)
             counts[found] = batch.column("counts")[row].values.to_numpy()
-            starts = np.concatenate([[0], np.cumsum(counts)])
             postings = np.frombuffer(batch.column("postings")[row].as_py(), np.int32).astype(np.int64)
             bases = np.concatenate([[0], np.cumsum(lengths + gap)])
             change = np.zeros(bases[-1] + 1, np.int32)
             exact: dict[int, set[str]] = {}
             near: dict[int, set[str]] = {}
-            for (ids, offsets), held in zip(ordered, names):
-                if not counts[ids].all():
-                    continue
-                first = ids[0]
-                begin = postings[starts[first]:starts[first + 1]] - offsets[0]
-                off = np.zeros(len(begin), np.int64)
-                for term, offset in zip(ids[1:], offsets[1:]):
-                    far = _nearest(postings[starts[term]:starts[term + 1]], begin + offset)
-                    stay = far <= slop
-                    begin, off = begin[stay], np.maximum(off, far)[stay]
-                    if not len(begin):
-                        break
-                if not len(begin):
-                    continue
-                docs = np.searchsorted(bases, begin + offsets[0], "right") - 1
+            for window, begin, place, off in _places(plan, found, counts, postings, slop, int(bases[-1]) + 2 * gap):
+                docs = np.searchsorted(bases, place, "right") - 1
                 hit = off == 0
                 np.add.at(change, begin[hit], 1)
-                np.add.at(change, begin[hit] + len(ids), -1)
-                for doc in np.unique(docs[hit]):
-                    exact.setdefault(int(doc), set()).update(held)
-                for doc in np.unique(docs[~hit]):
-                    near.setdefault(int(doc), set()).update(held)
+                np.add.at(change, begin[hit] + plan.sizes[window[hit]], -1)
+                for which, into in ((hit, exact), (~hit, near)):
+                    for doc, one in np.unique(np.column_stack([docs[which], window[which]]), axis=0).tolist():
+                        into.setdefault(doc, set()).update(plan.items(one))
             covered = (np.cumsum(change) > 0).astype(np.int8)
             spans = []
             for doc, size in enumerate(lengths.tolist()):
@@ -191,8 +248,9 @@ def _pass(docs: DataFrame, tests: TestSet, window: int, slop: int) -> DataFrame:
         .groupBy("p.terms").agg(F.sum("p.counts")).collect()
     ):
         frequency[term] = n
-    plan = context.broadcast((tests.ordered(frequency), tests.names, len(tests.terms)))
-    return index.mapInArrow(lambda it: _search(it, *plan.value, gap, slop), FOUND)
+    # a plain tuple, which executors can read without this module
+    n_terms, plan = len(tests.terms), context.broadcast(tuple(tests.plan(frequency)))
+    return index.mapInArrow(lambda it: _search(it, Plan(*plan.value), n_terms, gap, slop), FOUND)
 
 
 def _lots(items: DataFrame) -> int:

@@ -1,5 +1,10 @@
 import hashlib
 import re
+import time
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from llm_samples import none, odd, prose  # noqa: F401  (fixtures)
 
@@ -48,6 +53,7 @@ def test_segments_and_passes_change_nothing(spark, odd, monkeypatch):
     monkeypatch.setattr(decontam, "SEGMENT_TOKENS", 60)
     monkeypatch.setattr(decontam, "SEGMENT_DOCS", 2)
     assert key(map(tuple, decontam.contamination(docs, items).collect())) == one
+    monkeypatch.setattr(decontam, "CANDIDATES", 3)
     monkeypatch.setattr(decontam, "PASS_WORDS", 20)
     assert key(map(tuple, decontam.contamination(docs, items).collect())) == one
 
@@ -62,6 +68,73 @@ def test_proximity(spark):
     assert found == {1: (["1"], [], [(1, 14)]), 2: ([], ["1"], []), 3: ([], [], []), 4: ([], [], [])}
 
 
+def searched(tests, texts, slop=decontam.SLOP):
+    """Rows of the search over texts in one process, and CPU seconds of index and search."""
+    gap = decontam.WINDOW + slop + 1
+    key = pa.array([{"doc_id": i, "key": ""} for i in range(len(texts))], pa.struct([("doc_id", pa.int64()), ("key", pa.string())]))
+    start = time.process_time()
+    index = list(decontam._index([pa.record_batch({"key": key, "text": pa.array(texts, pa.string())})], tests.terms, gap))
+    built = time.process_time()
+    frequency = np.zeros(len(tests.terms) + 1, np.int64)
+    for part in index:
+        frequency[part.column("terms")[0].values.to_numpy()] += part.column("counts")[0].values.to_numpy()
+    plan = tests.plan(frequency)
+    begun = time.process_time()
+    rows = [r for b in decontam._search(index, plan, len(tests.terms), gap, slop) for r in b.to_pylist()]
+    return rows, built - start, time.process_time() - begun
+
+
+def slow_places(tests, plan_terms, said, window):
+    """Begin and words off of one window in a text, from the rarest term on."""
+    places = {w: [i for i, v in enumerate(said) if v == w] for w in set(said)}
+    offsets = sorted(range(len(window)), key=lambda o: (plan_terms[window[o]], o))
+    for at in places.get(window[offsets[0]], []):
+        begin, off = at - offsets[0], 0
+        for o in offsets[1:]:
+            off = max(off, min((abs(p - begin - o) for p in places.get(window[o], [])), default=99))
+        if off <= decontam.SLOP:
+            yield begin, off
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_exact_and_near_places_are_brute_forces(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    some = lambda n: " ".join(f"w{i}" for i in rng.integers(0, rng.integers(2, 9), n))
+    items = [(str(i), some(rng.integers(1, 20))) for i in range(5)] + [("none", None), ("again", "w1"), ("0", "w1")]
+    texts = [some(rng.integers(1, 90)) for _ in range(6)] + ["", None, f"x {items[0][1]} y"]
+    monkeypatch.setattr(decontam, "CANDIDATES", int(rng.choice([2, 60, 1 << 20])))
+    tests = decontam.TestSet(items)
+    rows, _, _ = searched(tests, texts)
+    words = [decontam.words_of(t) for t in texts]
+    often = {w: sum(said.count(w) for said in words) for w in tests.terms}
+    term = {i: w for w, i in tests.terms.items()}
+    for row, said in zip(rows, words):
+        exact, near, hit = set(), set(), set()
+        for number, ids in enumerate(tests.windows):
+            names = {tests.names[i] for i in tests.held[tests.held_starts[number]:tests.held_starts[number + 1]]}
+            for begin, off in slow_places(tests, often, said, [term[i] for i in ids]):
+                (near if off else exact).update(names)
+                hit.update(range(begin, begin + len(ids)) if not off else ())
+        assert (set(row["items"]), set(row["near_items"])) == (exact, near - exact)
+        assert {i for s in row["spans"] for i in range(s["start"], s["end"])} == hit
+
+
+def test_many_windows_cost_little():
+    rng = np.random.default_rng(5)
+    some = lambda k, n: [" ".join(f"w{i}" for i in rng.integers(0, 30_000, n)) for _ in range(k)]
+    texts = some(20, 10_000)
+    took = {}
+    for k in (50, 2_000):
+        tests = decontam.TestSet([(str(i), t) for i, t in enumerate(some(k, 112))])
+        assert len(tests.windows) == k * 100
+        rows, index, search = searched(tests, texts)
+        assert not any(r["items"] for r in rows)
+        took[k] = (index, search)
+    print("CPU seconds of index and search by items", took)
+    # forty times the windows add less than the index of the same texts takes, with room for a busy machine
+    assert took[2_000][1] < 3 * took[2_000][0]
+
+
 def test_clean_documents_stay(spark, odd, none):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = decontam.keep_clean(odd, items)
