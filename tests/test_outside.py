@@ -19,7 +19,7 @@ def beyond(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["buffered_read"])
+@pytest.mark.parametrize("name", ["buffered_read", "file_overlap_periodic"])
 def test_points_beyond_the_unit_box(spark, beyond, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{beyond}/embeddings.parquet'")
