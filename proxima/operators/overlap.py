@@ -19,9 +19,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import boxes_touch
+from ..session import stage_table
 
 #: Cell numbers are 32-bit; only levels in use cost anything.
 MAX_LEVEL = 30
+#: Rows of one cell that may be shuffled to one task to learn their shares.
+CELL_TASK_ROWS = 1_000_000
 
 
 def _level(cols, size: float) -> Column:
@@ -60,7 +63,9 @@ def _emit(df, cols, origin, size, other_levels, tag):
     own = f"_{tag}_own"
     out = df.withColumn(own, _level(cols, size))
     coarser = F.filter(F.array(*[F.lit(v) for v in other_levels]), lambda v: v < F.col(own))
-    out = out.withColumn("_lv", F.explode(F.array_distinct(F.array_append(coarser, F.col(own)))))
+    # nothing of the other side is found at a level finer than all of its own
+    levels = F.when(F.col(own) <= max(other_levels), F.array_distinct(F.array_append(coarser, F.col(own)))).otherwise(coarser)
+    out = out.withColumn("_lv", F.explode(levels))
     for axis, lo, hi in zip("xyz", cols[:3], cols[3:]):
         o = origin["xyz".index(axis)]
         first = f"_{tag}_{axis}0"
@@ -74,15 +79,26 @@ def _emit(df, cols, origin, size, other_levels, tag):
 def _shared_out(l_rows, r_rows, l_columns, r_columns, keys, spread):
     """Both sides with the shares of their cells, from the counts of the cells that have more than ``spread`` rows.
 
-    At most one cell for ``spread`` rows is busy, so the counts that are joined back are few.
+    At most one cell for ``spread`` rows is busy, so the counts that are joined back are few. They are written
+    first, so that their size is known: where it is small they are broadcast and no row is shuffled for them. Where it
+    is not, rows are shuffled on their cell, those of the largest cells (at most one for ``CELL_TASK_ROWS`` rows) by a part of it.
     """
     count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > spread)
-    busy = count(l_rows, "_nl").join(count(r_rows, "_nr"), keys, "full")
+    busy = stage_table(count(l_rows, "_nl").join(count(r_rows, "_nr"), keys, "full"), "busy-cells")
+    parts = F.ceil(F.greatest(F.coalesce("_nl", F.lit(1)), F.coalesce("_nr", F.lit(1))) / CELL_TASK_ROWS).cast("int")
+    large = stage_table(busy.select(*keys, parts.alias("_parts")).where("_parts > 1"), "large-cells")
+    busy = busy.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     shares = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(1)) / spread).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), shares(n) - 1))
     own = lambda columns, n: F.pmod(F.xxhash64(*columns), shares(n)).cast("int")
-    l_rows = l_rows.join(busy, keys, "left").withColumn("_l_share", own(l_columns, "_nl")).withColumn("_r_share", every("_nr"))
-    r_rows = r_rows.join(busy, keys, "left").withColumn("_r_share", own(r_columns, "_nr")).withColumn("_l_share", every("_nl"))
+
+    def counted(rows, columns):
+        part = F.pmod(F.xxhash64(F.lit("part"), *columns), F.coalesce("_parts", F.lit(1))).cast("int")
+        rows = rows.join(large, keys, "left").withColumn("_part", part).drop("_parts")
+        return rows.join(busy, [*keys, "_part"], "left").drop("_part")
+
+    l_rows = counted(l_rows, l_columns).withColumn("_l_share", own(l_columns, "_nl")).withColumn("_r_share", every("_nr"))
+    r_rows = counted(r_rows, r_columns).withColumn("_r_share", own(r_columns, "_nr")).withColumn("_l_share", every("_nl"))
     return l_rows.drop("_nl", "_nr"), r_rows.drop("_nl", "_nr")
 
 

@@ -143,3 +143,28 @@ def test_busy_cells_are_dealt_over_shares(spark):
         assert side.groupBy(*both).count().agg(F.max("count")).first()[0] < 100
     pairs = l.join(r, both).select("lid", "rid")
     assert pairs.exceptAll(left.join(right, keys).select("lid", "rid")).count() == 0 and pairs.count() == left.join(right, keys).count()
+
+
+def test_rows_of_busy_cells_stay_where_they_are(spark, monkeypatch):
+    """Counts reach the rows by broadcast; where they are too many, no task gets a whole large cell."""
+    from proxima.operators import overlap
+
+    keys = ["_lv", "_cx", "_cy", "_cz"]
+    cell = {k: F.when(F.col("id") < 900, 1).otherwise(F.col("id") % 7).alias(k) for k in keys}
+    left = spark.range(1000).select(F.col("id").alias("lid"), *cell.values())
+    right = spark.range(700, 1000).select(F.col("id").alias("rid"), *cell.values())
+    l, _ = overlap._shared_out(left, right, ["lid"], ["rid"], keys, 50)
+    plan = l._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(overlap, "CELL_TASK_ROWS", 100)
+    l, r = overlap._shared_out(left, right, ["lid"], ["rid"], keys, 50)
+    pairs, want = l.join(r, [*keys, "_l_share", "_r_share"]).select("lid", "rid"), left.join(right, keys).select("lid", "rid")
+    assert pairs.count() == want.count() and pairs.exceptAll(want).count() == 0
+
+
+def test_points_are_sent_to_levels_in_use(spark):
+    """Points have a cell of their own only where the other side has rows so fine."""
+    from proxima.operators import overlap
+
+    rows = overlap._emit(make_points(spark, clustered()[:50]), ["px", "py", "pz"] * 2, [0.0] * 3, 1.0, [1, 3], "l")
+    assert sorted(r["_lv"] for r in rows.select("_lv").distinct().collect()) == [1, 3] and rows.count() == 100
