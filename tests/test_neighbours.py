@@ -104,3 +104,34 @@ def test_no_nested_loop_in_the_search(spark):
     x = clustered()
     plan = rnn_particles(make_points(spark, x), 8, 1.0, block_rows=64)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_radius_search_sends_few_copies(spark, monkeypatch):
+    """A query is sent once and a point a few times, not once for each of 27 cells around it."""
+    import pyarrow as pa
+
+    from proxima.operators import radius as R
+
+    def counted(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float32())] * 3 + [pa.array([b.num_rows])], names=["qx", "qy", "qz", "n_within"])
+        return run
+
+    x = make_points(spark, np.random.default_rng(2).random((4000, 3)))
+    asked = x.selectExpr("px AS qx", "py AS qy", "pz AS qz")
+    folded = x.selectExpr("px", "py", "pz", "1L AS m")
+    monkeypatch.setattr(R.kernels, "near_pairs", counted)
+    sent = R._searched(asked, folded, 0.02, None, 20_000, "m").groupBy().sum("n_within").first()[0]
+    assert 2 * 4000 <= sent <= 6 * 4000
+
+
+@pytest.mark.parametrize("length", [None, 1.0])
+def test_counts_over_shares_and_gathered_places(spark, monkeypatch, length):
+    x = clustered()[::2]
+    lost = make_points(spark, x[:3]).selectExpr("fnum", "row_idx + 9000 AS row_idx", "CAST('NaN' AS float) AS px", "py", "CAST(NULL AS float) AS pz")
+    points = make_points(spark, x).unionByName(lost)
+    for radius in (0.03, 0.2):
+        got = radius_counts(points, radius, length, cell_rows=30).toPandas().sort_values("row_idx")
+        want = (brute_r2(x, x, length) <= np.float32(radius) * np.float32(radius)).sum(1)
+        np.testing.assert_array_equal(got.n_within.to_numpy(), want)
