@@ -27,6 +27,7 @@ import heapq
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -165,33 +166,38 @@ class Pieces:
         return found
 
     def _viterbi(self, segment: str) -> tuple[bytes, float, float]:
-        get, size = self.pieces.get, len(segment)
-        first, second = [0.0], [NEVER]
-        via: list[tuple[int, int]] = [(0, 0)]
+        get, size, fallback = self.pieces.get, len(segment), self.fallback
+        first, second = [0.0] * (size + 1), [NEVER] * (size + 1)
+        via: list[tuple[int, int]] = [(0, 0)] * (size + 1)
         for end in range(1, size + 1):
-            top = next_ = NEVER
-            edge, start = (end - 1, -1), end - 1
+            start = at = end - 1
+            id_ = -1
             held = get(segment[start:end])
-            if not held:
-                top, next_ = first[start] + self.fallback, second[start] + self.fallback
+            if held:
+                top = next_ = NEVER
+            else:
+                top, next_ = first[start] + fallback, second[start] + fallback
             while held is not None:
                 if held:
                     i, score = held
                     way = first[start] + score
                     if way > top:
-                        next_, top, edge = max(top, second[start] + score), way, (start, i)
+                        next_ = second[start] + score
+                        if top > next_:
+                            next_ = top
+                        top, at, id_ = way, start, i
                     else:
-                        if way == top and i < edge[1]:
-                            edge = (start, i)
+                        if way == top and i < id_:
+                            at, id_ = start, i
                         if way > next_:
                             next_ = way
-                start -= 1
-                if start < 0:
+                if not start:
                     break
+                start -= 1
                 held = get(segment[start:end])
-            first.append(top)
-            second.append(next_)
-            via.append(edge)
+            first[end] = top
+            second[end] = next_
+            via[end] = (at, id_)
         path, end = [], size
         while end:
             path.append(via[end])
@@ -251,13 +257,12 @@ class Pieces:
         """Ids of each segment's best path; scores of the n best, and the segments where each differs."""
         segments = self.segments(" " + text)
         each = list(map(self.known.get, segments))
-        for k, e in enumerate(each):
-            if e is None:
-                each[k] = self.best(segments[k])
-        score, ids = sum(e[1] for e in each), [e[0] for e in each]
+        for k in [k for k, e in enumerate(each) if e is None]:
+            each[k] = self.best(segments[k])
+        ids, score = list(map(itemgetter(0), each)), sum(map(itemgetter(1), each))
         if n == 1:
             return ids, [(score, {})]
-        short = np.array([e[2] for e in each])
+        short = np.fromiter(map(itemgetter(2), each), np.float64, len(each))
         weak = np.flatnonzero(short <= np.partition(short, n - 2)[n - 2]) if len(short) >= n else np.arange(len(short))
         weak = weak[np.lexsort((weak, short[weak]))][:n - 1]
         weak = [int(k) for k in weak if short[k] != float("inf")]
@@ -342,13 +347,14 @@ def summaries(docs: DataFrame, text: Column, n: int = N_BEST, path: str = MODEL)
     @F.pandas_udf("n_pieces long, n_bytes long, scores array<double>, ids_sha256 string, round_trip boolean")
     def sum_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Pieces(*held.value)
-        as_bytes = set(own.of_byte)
+        as_bytes = np.zeros(len(own.spelled), bool)
+        as_bytes[own.of_byte] = True
         for texts in batches:
             rows = []
             for t in texts:
                 parts, ways = own.ranked(t, n) if t else ([], [(0.0, {})])
                 ids = array("i", b"".join(parts))
-                rows.append((len(ids), sum(map(as_bytes.__contains__, ids)), [s for s, _ in ways],
+                rows.append((len(ids), int(np.count_nonzero(as_bytes[np.frombuffer(ids, np.int32)])), [s for s, _ in ways],
                              sha256(ids.tobytes()).hexdigest(), own.decode(ids) == (t or "")))
             yield pd.DataFrame(rows, columns=["n_pieces", "n_bytes", "scores", "ids_sha256", "round_trip"])
 
